@@ -11,6 +11,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.tiff import media_digests, text_media
+
+    return media_digests(text_media(_documents(spark, sf_dir)))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.ngram_join import similar_groups
 
@@ -18,6 +24,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tiff_media": op1_tiff_media,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
 }
 
