@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.llm import mixing
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,10 +25,25 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_documents(spark, sf_dir), n=4, p=85, q=100)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.secrets_scan import secret_spans
+
+    return secret_spans(_documents(spark, sf_dir))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.mixing import with_copies
+
+    mixed = with_copies(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mix_sources": mixing.ORACLE}
