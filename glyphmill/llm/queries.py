@@ -25,6 +25,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_documents(spark, sf_dir), n=4, p=85, q=100)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.sentencepiece_tok import load_model, token_digests
+
+    return token_digests(_documents(spark, sf_dir), load_model())
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.secrets_scan import secret_spans
 
@@ -41,6 +47,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix_sources": op10_mix_sources,
 }
