@@ -139,11 +139,16 @@ class Codec:
         self.model = model
         steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
         if model.extra_spaces:
-            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         self.normalizer = normalizers.Sequence(steps)
         unk = model.pieces[model.unk_id]
         if model.model_type == UNIGRAM:
-            core = models.Unigram(list(zip(model.pieces, model.scores, strict=True)), unk_id=model.unk_id, byte_fallback=model.byte_fallback)
+            # only ordinary pieces may match a text; unknown stretches are turned into bytes in encode()
+            names = [p if k in (NORMAL, USER) else f"{_NEVER}{i}" for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+            least = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0)
+            scores = [s if k in (NORMAL, USER) else least for s, k in zip(model.scores, model.kinds, strict=True)]
+            core = models.Unigram(list(zip(names, scores, strict=True)), unk_id=model.unk_id, byte_fallback=False)
+            self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         else:
             vocabulary = {p: i for i, p in enumerate(model.pieces)}
             core = models.BPE(vocabulary, _merges(model), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
@@ -158,13 +163,14 @@ class Codec:
         text = self.normalizer.normalize_str(text) if self.model.charsmap or self.model.extra_spaces else text
         if text and self.model.dummy_prefix:
             text = " " + text
-        return text.replace(" ", SPACE)
+        text = text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.model.extra_spaces else text
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty. The library's threads share a batch."""
         marked = [self.marked(x or "") for x in texts]
         if not self.by_word:
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            return [self._with_bytes(x, e) for x, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
         words = [_WORDS.findall(x) for x in marked]
         missing = list({w for own in words for w in own if w not in self.kept})
         if len(self.kept) + len(missing) > KEPT:
@@ -175,9 +181,20 @@ class Codec:
         kept, none = self.kept, np.zeros(0, np.int32)
         return [np.concatenate([kept[w] for w in own]) if own else none for own in words]
 
+    def _with_bytes(self, text: str, encoding) -> np.ndarray:
+        """Ids of a unigram encoding, each unknown stretch as its bytes where the model has these."""
+        ids = encoding.ids
+        if self.model.byte_fallback and self.model.unk_id in ids:
+            ids = [j for i, (s, e) in zip(ids, encoding.offsets, strict=True) for j in ([self.byte_ids[b] for b in text[s:e].encode()] if i == self.model.unk_id else [i])]
+        return np.array(ids, np.int32)
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The texts of ids; the dummy prefix goes."""
-        out = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        pieces = self.model.pieces
+        if self.model.model_type == UNIGRAM:
+            out = [self.tokenizer.decoder.decode([pieces[i] for i in x]) for x in ids]
+        else:
+            out = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
         return [x[1:] if self.model.dummy_prefix and x[:1] == " " else x for x in out]
 
     def round_trip(self, text: str) -> str:
@@ -186,6 +203,8 @@ class Codec:
         return x[1:] if self.model.dummy_prefix else x
 
 
+#: Begins the names of pieces that no text may match.
+_NEVER = "\U0010ffff\U0010fffe never matched "
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
