@@ -31,6 +31,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.substring_dedup import cut_repeats
+
+    return cut_repeats(_documents(spark, sf_dir)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.quality import quality_scores
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_quality": op6_quality,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
