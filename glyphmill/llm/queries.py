@@ -43,6 +43,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.iblt import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.sentencepiece_tok import load_model, token_digests
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_quality": op6_quality,
+    "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix_sources": op10_mix_sources,
