@@ -37,6 +37,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(_documents(spark, sf_dir)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.licenses import license_scan
+
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.quality import quality_scores
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_quality": op6_quality,
     "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
