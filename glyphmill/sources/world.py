@@ -77,7 +77,7 @@ def region_texts(regions: DataFrame, patterns: Patterns | None = None) -> DataFr
                 rows = _error(e)
             yield from ({"chunk_index": c.index} | r for r in rows)
 
-    return exploded(regions, run, "chunk_index int, " + LEAVES, "content").drop("content")
+    return exploded(regions.withColumnRenamed("content", "_bytes"), run, "chunk_index int, " + LEAVES, "_bytes").drop("_bytes")
 
 
 def region_chunks(regions: DataFrame) -> DataFrame:

@@ -1,0 +1,23 @@
+"""A query's rows against its SQL's, as the driver compares them."""
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
+
+
+def same(frame, sql, sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    done = con.execute(sql)
+    names = [c[0] for c in done.description]
+    expected = rows_of(names, done.fetchall())
+    assert sorted(frame.columns) == sorted(names)
+    found = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    assert len(found) == len(expected)
+    assert found == expected, next((a, b) for a, b in zip(found, expected) if a != b)
