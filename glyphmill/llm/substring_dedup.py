@@ -181,7 +181,8 @@ def _cuts(docs: DataFrame, batches: int, work: Workspace) -> DataFrame:
     info = work.save(docs.mapInArrow(describe, "doc_id long, n_words long, high long, low long"), "info")
     long = info.where(F.col("n_words") >= WINDOW)
     # a whole text that an earlier document has goes altogether, and needs no look at its windows
-    least = long.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # (tables of groups are written before a join with their rows, so that Spark can split a hot group's rows)
+    least = work.save(long.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "least")
     copies = work.save(long.join(least, ["high", "low"]).where("doc_id > first").select("doc_id", F.col("high").alias("whole"), "n_words").distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     ids = copies.groupBy("doc_id").agg(F.collect_set("whole").alias("copied"))
@@ -204,12 +205,13 @@ def _cuts(docs: DataFrame, batches: int, work: Workspace) -> DataFrame:
     rows = work.save(texts.select("doc_id", "text", "shared").mapInArrow(window_rows, "high long, low long, doc_id long, whole long, at int"), "windows")
     work.drop(*(f"found-{i}" for i in range(1, index.made + 1)), *(f"keys-{i}" for i in range(1, index.made + 1)))
     firsts = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
+    firsts = work.save(firsts, "firsts")
     later = rows.join(firsts, ["high", "low"]).where("doc_id > first")
     starts = later.groupBy("doc_id", "whole").agg(F.collect_set("at").alias("starts"))
     cuts = starts.mapInArrow(covered, "doc_id long, whole long, spans binary")
     all_of = F.unhex(F.concat(F.lit("00000000"), *(F.lpad(F.hex(F.shiftrightunsigned("n_words", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
     cuts = work.save(cuts.unionByName(copies.select("doc_id", "whole", all_of.alias("spans"))), "cuts")
-    work.drop("windows", "shared", "info", "copies")
+    work.drop("windows", "firsts", "least", "shared", "info", "copies")
     return cuts
 
 
