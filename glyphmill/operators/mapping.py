@@ -14,7 +14,7 @@ def lookup(leaves: DataFrame, mapping: DataFrame, text: str = "content") -> Data
     return leaves.join(to, text)
 
 
-def replace_all(leaves: DataFrame, replacement: str = '"MCT"') -> DataFrame:
+def replace_all(leaves: DataFrame, replacement: str = '"TEXT"') -> DataFrame:
     """Every text replaced by a constant."""
     return leaves.withColumn("replacement", F.lit(replacement))
 

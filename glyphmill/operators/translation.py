@@ -16,7 +16,7 @@ from glyphmill.operators.batches import greedy_chunks
 from glyphmill.parse import component, rules
 
 # The marks of the wire protocol.
-START, TRANSLATED, TERMS, END = (f"-- MCT-CLI:{x} --" for x in ("START", "TRANSLATED", "TERMS", "END"))
+START, TRANSLATED, TERMS, END = (f"-- BATCH:{x} --" for x in ("START", "TRANSLATED", "TERMS", "END"))
 RETRIES = 20
 _RESPONSE = re.compile(rf"{TRANSLATED}(.*?){TERMS}(.*?){END}", re.S)
 _LINE = re.compile(r"\s*\[(\d+)\] ?(.*)")
