@@ -20,7 +20,8 @@ from glyphmill.llm.toxicity import train, with_scores
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier scores below 0.5; it learns from the labels of the documents here."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(docs, model, "_score").where("_score < 0.5").select(*docs.columns)
+    rows = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return with_scores(rows, model).where("score < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

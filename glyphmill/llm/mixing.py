@@ -60,9 +60,10 @@ def with_copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 
 
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """The documents, each row as often as the mix takes it."""
-    taken = with_copies(documents, weights, most, seed).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*documents.columns)
+    """The documents with all their columns, each row as often as the mix takes it."""
+    rows = documents.select("doc_id", "text", "source", F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    taken = with_copies(rows, weights, most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
 
 
 #: DuckDB SQL for the rows of op10.

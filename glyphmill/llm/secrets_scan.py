@@ -98,7 +98,7 @@ def secret_spans(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 def redact(documents: DataFrame, mark: str = "[SECRET]", vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with every span (overlapping ones together) replaced by ``mark``; no row is dropped.
 
-    A null text stays null. ``n_chars``, where there is one, is set to the new length.
+    A null text stays null, and its row as it is. ``n_chars``, where there is one, is set to the new length.
     """
     import pyspark.sql.functions as F
 
@@ -117,4 +117,4 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", vocabulary: str = VOCAB
         return texts.map(one, na_action="ignore")
 
     new = documents.withColumn("text", clean("text"))
-    return new.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else new
+    return new.withColumn("n_chars", F.coalesce(F.char_length("text").cast(documents.schema["n_chars"].dataType), "n_chars")) if "n_chars" in documents.columns else new

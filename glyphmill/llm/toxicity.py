@@ -68,7 +68,7 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray) -> Model:
     """A model of labelled texts; with fewer than two classes, their share and no weights."""
     labels = np.asarray(labels, np.float64)
-    rate = float((labels.sum() + 0.5) / (len(labels) + 1))
+    rate = float((labels.sum() + 0.5) / (len(labels) + 2))
     prior = math.log(rate / (1 - rate))
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)

@@ -44,3 +44,19 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"]
     assert out.count() > 100 and out.where("not round_trip").count() == 0
+
+
+def test_stages_keep_extra_columns_nulls_and_repeated_rows(spark, sf):
+    rows = [(1, None, "en", "a", 0, 1.5, "s"), (2, "", "en", None, 0, 2.5, "t"), (None, "some words here", None, "a", 15, 3.5, "u"), (3, "one two three four five six", "en", "a", 27, 4.5, "v"), (3, "one two three four five six", "en", "a", 27, 4.5, "v"), (4, "one two three four five six", "de", "b", 27, 5.5, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, size string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        found = {tuple(r) for r in out.collect()}
+        assert found <= set(rows), name
+        if name == "near copies":
+            assert found == set(rows) - {rows[5]} and out.count() == 5
+        if name in ("toxicity", "secrets"):
+            assert found == set(rows) and out.count() == 6
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert corpus_pipeline.tokenize(spark, docs, sf).count() == 6
