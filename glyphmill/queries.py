@@ -557,3 +557,53 @@ def nbt_roundtrip(spark, sf):
         yield {"name": tree["n"], "size": tree["s"].value, "price": tree["p"][0].value}
 
     return exploded(_t(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), trip, "name string, size int, price double", "p_name", "p_size", "p_retailprice").drop("p_name", "p_size", "p_retailprice")
+
+
+# --- conversions and records ------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_size AS i, p_partkey * 10000000000 AS l, CASE WHEN p_partkey = 0 THEN 'int int' ELSE 'int long' END AS kinds, 1 AS flag FROM part")
+def json_to_nbt(spark, sf):
+    from glyphmill.parse import convert
+
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "concat('{\"i\":', p_size, ',\"l\":', p_partkey * 10000000000, ',\"b\":true}') AS t")
+
+    def run(text):
+        tree = nbt.read(nbt.write(convert.json_to_nbt(njson.parse(text))))[1]
+        yield {"i": tree["i"].value, "l": tree["l"].value, "kinds": f"{tree['i'].kind} {tree['l'].kind}", "flag": tree["b"].value}
+
+    return exploded(rows, run, "i int, l long, kinds string, flag int", "t").drop("t")
+
+
+@query("SELECT p_brand AS source, p_type AS path, p_partkey AS part, p_name AS content FROM part")
+def interchange_groups(spark, sf):
+    from glyphmill.operators import interchange
+
+    leaves = _t(spark, sf, "part").selectExpr("p_brand AS source", "p_type AS path", "CAST(p_partkey AS INT) AS ordinal", "p_name AS content")
+    groups = interchange.to_groups(leaves, "datapack")
+    return interchange.from_groups(groups, "datapack").selectExpr("source", "path", "CAST(ordinal AS BIGINT) AS part", "content")
+
+
+@query("SELECT p_partkey, p_name AS found FROM part WHERE p_size % 2 = 0")
+def pointer_access(spark, sf):
+    def run(text):
+        try:
+            yield {"found": pointer.access(njson.parse(text), ("a", 1, "b>c"))}
+        except (KeyError, IndexError, TypeError):
+            return
+
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "CASE WHEN p_size % 2 = 0 THEN concat('{\"a\":[0,{\"b>c\":\"', p_name, '\"}]}') ELSE '{\"a\":[0]}' END AS t")
+    return exploded(rows, run, "found string", "t").drop("t")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat('["', p_name, '","', p_type, '"]') ELSE concat('{"text":"', p_name, '","color":"red"}') END AS content FROM part""".replace("CASE p_partkey % 3 WHEN 0 THEN p_name", "CASE p_partkey % 3 WHEN 0 THEN concat('\"', p_name, '\"')"))
+def pool_simplified(spark, sf):
+    """Components in their shortest form."""
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", """CASE p_partkey % 3 WHEN 0 THEN concat('{"text":"', p_name, '"}') WHEN 1 THEN concat('{"text":"', p_name, '","extra":[{"text":"', p_type, '"}]}') ELSE concat('{"text":"', p_name, '","color":"red"}') END AS content""")
+    return pool.simplified(rows)
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS valid FROM part")
+def format_validate(spark, sf):
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "CASE p_partkey % 3 WHEN 0 THEN concat('{\"text\":\"', p_name, '\"}') WHEN 1 THEN concat('{\"odd\":\"', p_name, '\"}') ELSE concat('{\"text\":', p_name) END AS t", "'json_str' AS f")
+    return rows.select("p_partkey", scalar(translation.validate, "boolean", "t", "f").alias("valid"))
