@@ -50,3 +50,15 @@ def exploded(frame: DataFrame, function: Callable[..., Iterable[dict]], schema:
         return pd.Series([list(function(*row)) for row in zip(*series, strict=True)], dtype=object)
 
     return frame.withColumn("_row", F.explode(run(*columns))).select(*frame.columns, "_row.*")
+
+
+def found_ranges(frame: DataFrame, text: str, part: str) -> DataFrame:
+    """One row per non-overlapping occurrence of a literal in a text: closed range start, end (code points)."""
+
+    def run(value: str | None):
+        at = (value or "").find(part) if part else -1
+        while at >= 0:
+            yield {"start": at, "end": at + len(part) - 1}
+            at = value.find(part, at + len(part))
+
+    return exploded(frame, run, "start int, end int", text)

@@ -607,3 +607,72 @@ def pool_simplified(spark, sf):
 def format_validate(spark, sf):
     rows = _t(spark, sf, "part").selectExpr("p_partkey", "CASE p_partkey % 3 WHEN 0 THEN concat('{\"text\":\"', p_name, '\"}') WHEN 1 THEN concat('{\"odd\":\"', p_name, '\"}') ELSE concat('{\"text\":', p_name) END AS t", "'json_str' AS f")
     return rows.select("p_partkey", scalar(translation.validate, "boolean", "t", "f").alias("valid"))
+
+
+# --- more of the translation loop -------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT 'plain_str' AS format, p_name AS source, upper(p_name) AS target, 'translated' AS status FROM part")
+def translate_mock(spark, sf):
+    """Chunks by budget through a model that answers in capitals."""
+    texts = _t(spark, sf, "part").selectExpr("'plain_str' AS format", "p_name AS text").distinct()
+
+    def model(message: str) -> str:
+        body = message.split(translation.START + "\n")[1].split("\n")
+        return translation.TRANSLATED + "\n" + "\n".join(x.upper() for x in body) + f"\n{translation.TERMS}\n{{}}\n{translation.END}"
+
+    return translation.translate(texts, model, budget=64)
+
+
+@query(f"SELECT p_partkey, concat(CASE WHEN p_name LIKE '%ring%' THEN 'Ring => R' || chr(10) ELSE '' END, '{translation.START}', chr(10), '[0] ', p_name, chr(10), '[1] ', p_type, '↠nl↠x') AS message FROM part")
+def message_build(spark, sf):
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "array(p_name, concat(p_type, '\nx')) AS t")
+    return rows.select("p_partkey", scalar(lambda t: translation.message(list(t), {"Ring": "R", "zzz": "Z"}), "string", "t").alias("message"))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_size % 3 = 0 THEN 'out' ELSE 'in' END AS status FROM part WHERE p_size % 3 <> 1) GROUP BY status")
+def export_results(spark, sf):
+    rows = _t(spark, sf, "part").selectExpr("p_name AS source", "p_type AS target", "CASE p_size % 3 WHEN 0 THEN 'untranslatable' WHEN 1 THEN 'untranslated' ELSE 'translated' END AS status", "p_size")
+    kept = translation.exported(rows.withColumn("source", F.concat("source", F.lit("|"), "p_size")))
+    return kept.groupBy(F.when(F.element_at(F.split("source", "[|]"), -1).cast("int") % 3 == 0, "out").otherwise("in").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, '\"TEXT\"' AS replacement FROM lineitem".replace('\\"', '"'))
+def replace_constant(spark, sf):
+    return mapping.replace_all(_t(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "replacement")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('say ', p_brand) ELSE concat('say ', p_name) END AS filled FROM part""")
+def command_replace(spark, sf):
+    """A command in NBT, replaced by a mapping; without a target it comes back as it was."""
+    from glyphmill.parse.backfill import replace_found
+    from glyphmill.parse.extract import nbt_texts
+
+    def run(name: str, brand: str, size: int) -> str:
+        (found,) = nbt_texts({"tile": {"Command": f"say {name}"}}, catalog.builtin())
+        return replace_found(found, {name: brand} if size % 2 == 0 else {name: None})
+
+    return _t(spark, sf, "part").select("p_partkey", scalar(run, "string", "p_name", "p_brand", "p_size").alias("filled"))
+
+
+@query("SELECT p_partkey, CAST(i AS INT) AS \"start\", CAST(i AS INT) AS \"end\" FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS i FROM part) WHERE substring(p_name, i + 1, 1) = 'e'".replace('\\"', '"'))
+def find_all(spark, sf):
+    from glyphmill.functions.udfs import found_ranges
+
+    return found_ranges(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "e").drop("p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 3 <> 0 AS old, l_partkey % 3 <> 1 AS new FROM lineitem")
+def dimension_layout(spark, sf):
+    path = F.expr("CASE l_partkey % 3 WHEN 0 THEN 'dimensions/minecraft/overworld/region/r.0.0.mca' WHEN 1 THEN 'region/r.0.0.mca' ELSE 'dimensions/my/x/region/r.0.0.mca' END")
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", world.in_layout(path, False).alias("old"), world.in_layout(path, True).alias("new"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 1024 AS INT) AS chunk_index, p_size AS x, -p_size AS z, p_type AS status, 2 AS n FROM part")
+def typed_chunks(spark, sf):
+    def build(key: int, size: int, status: str) -> bytes:
+        tree = {"DataVersion": Num("int", 3000), "xPos": Num("int", int(size)), "zPos": Num("int", -int(size)), "Status": status, "block_entities": [{"id": "a"}, {"id": "b"}]}
+        return anvil.write([anvil.Chunk(int(key) % 1024, anvil.GZIP, b"", 0).replaced(tree)])
+
+    rows = _t(spark, sf, "part").select("p_partkey", scalar(build, "binary", "p_partkey", "p_size", "p_type").alias("content"))
+    return world.typed_chunks(rows, "terrain").selectExpr("p_partkey", "chunk_index", "chunk_x AS x", "chunk_z AS z", "chunk_status AS status", "chunk_n_block_entities AS n")

@@ -54,9 +54,23 @@ def region_place(path: Column) -> Column:
     return F.when(x.isNotNull() & z.isNotNull(), F.struct(dimension.alias("dimension"), kind.alias("kind"), x.alias("x"), z.alias("z")))
 
 
+def in_layout(path: Column, new: bool) -> Column:
+    """Whether a file belongs to a world of the new layout (all below dimensions) or the old one (own folders; dimensions for other namespaces)."""
+    return path.startswith("dimensions/") if new else ~path.startswith("dimensions/minecraft/")
+
+
+def has_new_layout(spark: SparkSession, root: str) -> bool:
+    """By the data version, or where that isn't known by there being a folder of dimensions."""
+    version = data_version(spark, root)
+    if version is not None:
+        return version >= NEW_LAYOUT
+    return not files(spark, root, "*.mca").where(F.col("path").startswith("dimensions/")).select("path").isEmpty()
+
+
 def regions(spark: SparkSession, root: str) -> DataFrame:
     """(path, dimension, kind, x, z, content) of the region files that are large enough."""
     found = files(spark, root, "*.mca").where(F.col("length") >= anvil.LEAST)
+    found = found.where(in_layout(F.col("path"), has_new_layout(spark, root)))
     return found.withColumn("p", region_place(F.col("path"))).where("p IS NOT NULL").select("path", "p.*", "content")
 
 
@@ -90,6 +104,37 @@ def region_chunks(regions: DataFrame) -> DataFrame:
     return exploded(regions, run, "chunk_index int, compression int, time long, snbt string", "content").drop("content")
 
 
+_TYPED = {
+    "terrain": ("data_version int, x int, z int, y int, status string, last_update long, inhabited_time long, n_sections int, n_block_entities int", lambda t: {
+        "data_version": _number(t, "DataVersion"), "x": _number(t, "xPos"), "z": _number(t, "zPos"), "y": _number(t, "yPos"), "status": t.get("Status"), "last_update": _number(t, "LastUpdate"),
+        "inhabited_time": _number(t, "InhabitedTime"), "n_sections": len(t.get("sections", ())), "n_block_entities": len(t.get("block_entities", ()))}),
+    "entities": ("data_version int, x int, z int, n_entities int, ids array<string>", lambda t: {
+        "data_version": _number(t, "DataVersion"), **dict(zip(("x", "z"), getattr(t.get("Position"), "values", (None, None)), strict=False)), "n_entities": len(t.get("Entities", ())), "ids": [e.get("id") for e in t.get("Entities", ())]}),
+    "poi": ("data_version int, n_sections int, n_records int", lambda t: {
+        "data_version": _number(t, "DataVersion"), "n_sections": len(t.get("Sections", {})), "n_records": sum(len(s.get("Records", ())) for s in t.get("Sections", {}).values())}),
+}
+
+
+def _number(tree: dict, name: str):
+    return getattr(tree.get(name), "value", None)
+
+
+def typed_chunks(regions: DataFrame, kind: str) -> DataFrame:
+    """Chunks of a kind (terrain, entities, poi) with the fields of their type; what can't be read is left out."""
+    schema, fields = _TYPED[kind]
+
+    def run(content: bytes) -> Iterator[dict]:
+        for c in anvil.read(bytes(content)):
+            try:
+                yield {"chunk_index": c.index} | {f"chunk_{k}": v for k, v in fields(c.tree()).items()}
+            except (ValueError, AttributeError, TypeError):
+                continue
+
+    named = ", ".join(f"chunk_{x.strip()}" for x in schema.split(", "))
+    rows = regions.where(F.col("kind") == kind) if "kind" in regions.columns else regions
+    return exploded(rows, run, f"chunk_index int, {named}", "content").drop("content")
+
+
 def region_dump(regions: DataFrame) -> DataFrame:
     """(…, dump): all chunks of a region as readable SNBT."""
 
