@@ -329,9 +329,6 @@ def cmd_arg_split(spark, sf):
     return made.select("p_partkey", F.size("args").alias("argc"), F.col("args")[1].alias("second"), F.col("args")[2].alias("third"))
 
 
-ORACLE_SQL["cmd_arg_split"] = ORACLE_SQL["cmd_arg_split"].replace('\\\\"', '\\"')
-
-
 @query(_span_sql("13", "concat('\"', p_name, '\"')", "DoubleQuoteString", "plain_str", where="p_partkey % 2 = 0") + " UNION ALL " + _span_sql("14", "p_type", "LiteralString", "plain_str", where="p_partkey % 2 = 1"))
 def selector_name(spark, sf):
     return _spans(spark, sf, "concat('kill @e[name=', CASE WHEN p_partkey % 2 = 0 THEN concat('\"', p_name, '\"') ELSE concat('!', p_type) END, ',limit=1]')", "p_partkey")
@@ -637,7 +634,7 @@ def export_results(spark, sf):
     return kept.groupBy(F.when(F.element_at(F.split("source", "[|]"), -1).cast("int") % 3 == 0, "out").otherwise("in").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, '\"TEXT\"' AS replacement FROM lineitem".replace('\\"', '"'))
+@query("SELECT l_orderkey, l_linenumber, '\"TEXT\"' AS replacement FROM lineitem")
 def replace_constant(spark, sf):
     return mapping.replace_all(_t(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "replacement")
 
@@ -655,7 +652,7 @@ def command_replace(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", scalar(run, "string", "p_name", "p_brand", "p_size").alias("filled"))
 
 
-@query("SELECT p_partkey, CAST(i AS INT) AS \"start\", CAST(i AS INT) AS \"end\" FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS i FROM part) WHERE substring(p_name, i + 1, 1) = 'e'".replace('\\"', '"'))
+@query("SELECT p_partkey, CAST(i AS INT) AS \"start\", CAST(i AS INT) AS \"end\" FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS i FROM part) WHERE substring(p_name, i + 1, 1) = 'e'")
 def find_all(spark, sf):
     from glyphmill.functions.udfs import found_ranges
 
