@@ -120,15 +120,18 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     near_next is 0. Where rows share the next doc_id, the one with the least beginning is taken.
     """
     work = Workspace(documents.sparkSession, "iblt")
-    docs = documents.selectExpr("doc_id", "coalesce(text, '') AS text").withColumn("n_chars", F.char_length("text").cast("long"))
-    docs = docs.withColumn("k", F.expr("CAST(n_chars DIV 3 AS INT)"))
-    owners = documents.selectExpr("doc_id", "CAST(char_length(coalesce(text, '')) DIV 3 AS INT) AS k").distinct()
-    owners = owners.join(_followers(documents, work), "doc_id").withColumnRenamed("doc_id", "owner")
-    begun = docs.join(owners.withColumnRenamed("k", "own_k"), docs["doc_id"] == owners["next_id"])
+    k = "CAST(char_length(text) DIV 3 AS INT)"
+    every = documents.selectExpr("doc_id", "coalesce(text, '') AS text")
+    # both joins read one exchange of the texts, so only the beginnings are sent a second time
+    docs = every.where("doc_id IS NOT NULL")
+    owners = docs.selectExpr("doc_id", f"{k} AS k").distinct().join(_followers(documents, work), "doc_id").withColumnsRenamed({"doc_id": "owner", "k": "own_k"})
+    begun = docs.join(owners, docs["doc_id"] == owners["next_id"])
     begun = begun.selectExpr("owner", "own_k", "named_struct('begin', left(text, own_k), 'digests', " + _digests("text") + ") AS p")
-    begun = begun.groupBy("owner", "own_k").agg(F.min("p").alias("p"))
-    rows = docs.join(begun, (docs["doc_id"] == begun["owner"]) & (docs["k"] == begun["own_k"]), "left")
-    rows = rows.selectExpr("doc_id", "n_chars", "text", "concat(left(text, CAST(n_chars - k AS INT)), coalesce(p.begin, '')) AS edited", "p.digests AS c")
+    begun = begun.repartition("owner").groupBy("owner", "own_k").agg(F.min("p").alias("p"))
+    rows = docs.join(begun, (docs["doc_id"] == begun["owner"]) & F.expr(f"{k} - own_k = 0"), "left").select("doc_id", "text", "p")
+    alone = every.where("doc_id IS NULL").withColumn("p", F.lit(None).cast(begun.schema["p"].dataType))
+    rows = rows.unionByName(alone).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = rows.selectExpr("doc_id", "n_chars", "text", f"concat(left(text, CAST(n_chars - {k} AS INT)), coalesce(p.begin, '')) AS edited", "p.digests AS c")
     rows = rows.withColumn("a", F.expr(_digests("text"))).withColumn("b", F.expr(_digests("edited")))
     rows = rows.selectExpr("doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "a", "b", "c")
     sketches = {f"s{x}": F.expr(_sketch(x, str(BASE))) for x in "ab"} | {"sc": F.expr(_sketch("coalesce(c, CAST(array() AS ARRAY<BIGINT>))", str(BASE)))}
