@@ -8,7 +8,9 @@ mixed; sequences of words are hashed from word hashes in the same way. All of it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,3 +135,24 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(counts)), many)
     before = np.concatenate([[0], np.cumsum(many)])
     return np.arange(before[-1]) - before[doc] + words.first[doc], doc
+
+
+def released(batches: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system when its task ends.
+
+    Python workers outlive tasks; without this, what one operator's arrays took stays with the worker
+    while the next operator runs.
+    """
+
+    @functools.wraps(batches)
+    def run(*args):
+        try:
+            yield from batches(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import U, Hasher, chunks, mix, stream, text_bytes, windows, words_of
+from glyphmill.llm.arrays import U, Hasher, chunks, mix, released, stream, text_bytes, windows, words_of
 from glyphmill.llm.components import components
 from glyphmill.llm.shared import Workspace, partitions
 
@@ -148,6 +148,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+@released
 def describe(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, size, high, low): the size of each row's set and a 128-bit digest of it."""
     for batch in batches:
@@ -156,6 +157,7 @@ def describe(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), _long(high), _long(low)], ["doc_id", "size", "high", "low"])
 
 
+@released
 def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id) rows. Equal sets met again in the same task emit nothing: their digest links them."""
     seen: set[tuple[int, int]] = set()
@@ -165,7 +167,7 @@ def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBat
             fresh = np.asarray(ids.is_valid())
             for i, digest in enumerate(zip(*(x.tolist() for x in _digests(tokens, first)), strict=True)):
                 fresh[i] &= digest not in seen
-                if len(seen) < 500_000:
+                if len(seen) < 100_000:
                     seen.add(digest)
             size = np.diff(first)
             kept = np.repeat(fresh, size)
@@ -174,6 +176,7 @@ def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([_long(keys), ids.take(pa.array(rows))], ["key", "doc_id"])
 
 
+@released
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, doc_id) sorted by both: (key, least, doc_id) of the keys that several documents hold.
 
@@ -205,6 +208,7 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         key, least = int(keys[-1]), int(leasts[-1])
 
 
+@released
 def set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, size, tokens): the sorted distinct tokens as bytes."""
     for batch in batches:
@@ -213,6 +217,7 @@ def set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(own, pa.binary())], ["doc_id", "size", "tokens"])
 
 
+@released
 def compare(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with q * |intersection| >= p * |union|."""
     for batch in batches:
@@ -225,6 +230,7 @@ def compare(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+@released
 def sketches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, size, bits): parities of the tokens by hash, about two bits a token.
 
@@ -267,6 +273,7 @@ def _near(p: int, q: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+@released
 def open_pairs(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) candidates of rows sorted by (key, i, j): each such group is at most two blocks."""
     at, rows = None, []

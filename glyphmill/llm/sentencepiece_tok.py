@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glyphmill.llm.arrays import released
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a Python worker keeps; beyond it the table starts anew.
-KEPT = 300_000
+KEPT = 60_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, object]]:
@@ -223,6 +225,7 @@ def encoded(documents: DataFrame, model: bytes, keep: list[str] | None = None) -
     source = documents.select(*keep, documents["text"].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for batch in batches:
@@ -246,6 +249,7 @@ def token_digests(documents: DataFrame, model: bytes) -> DataFrame:
     names = ["n_tokens", "n_unknown", "ids_sha256", "decoded_sha256", "round_trip"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for batch in batches:
