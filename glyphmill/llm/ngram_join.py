@@ -159,7 +159,10 @@ def describe(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 @released
 def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id) rows. Equal sets met again in the same task emit nothing: their digest links them."""
+    """(key, doc_id) rows. Equal sets met again in the same task emit nothing: their digest links them.
+
+    Rows with a null id emit nothing and stand for no set, as no digest links them.
+    """
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for a, b, tokens, first in _sets(batch.column("text"), scheme.n):
@@ -167,7 +170,7 @@ def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBat
             fresh = np.asarray(ids.is_valid())
             for i, digest in enumerate(zip(*(x.tolist() for x in _digests(tokens, first)), strict=True)):
                 fresh[i] &= digest not in seen
-                if len(seen) < 100_000:
+                if fresh[i] and len(seen) < 100_000:
                     seen.add(digest)
             size = np.diff(first)
             kept = np.repeat(fresh, size)

@@ -102,3 +102,14 @@ def test_empty_and_null_ids(spark):
     assert similar_groups(spark.createDataFrame([], schema)).collect() == []
     rows = similar_groups(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (5, "a b c d e f"), (5, "x")], schema)).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in rows) == [("3", 3), ("5", 3), ("5", 3), ("None", None)]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 1, 0, 3), (0, 2, 3, 1)])
+def test_null_id_stands_for_no_set(spark, order):
+    """A null id, an equal set and a near one in one task, whichever comes first."""
+    words = [f"w{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join(words[:-1])
+    rows = [(None, base), (None, base), (7, base), (8, near)]
+    docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    found = sorted((str(r.doc_id), r.component_id) for r in similar_groups(docs, 5, 4, 5).collect())
+    assert found == [("7", 7), ("8", 7), ("None", None), ("None", None)]
