@@ -65,10 +65,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + float(table[at].sum(dtype=np.float64))))))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """A model of labelled texts; with fewer than two classes, their share and no weights."""
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """A model of labelled texts; with fewer than two classes, their share and no weights.
+
+    ``weight``, of mean 1, is how much each text counts for the prior and in the regression. The log
+    ratios are taken within each class, so the mix of classes has no part in them.
+    """
     labels = np.asarray(labels, np.float64)
-    rate = float((labels.sum() + 0.5) / (len(labels) + 2))
+    weight = np.ones(len(labels)) if weight is None else weight
+    rate = float(((weight * labels).sum() + 0.5) / (weight.sum() + 2))
     prior = math.log(rate / (1 - rate))
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)
@@ -92,12 +97,12 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         columns.append(at)
     rows, columns = np.concatenate(rows), np.concatenate(columns)
     values = ratio[chosen][columns]
-    weights, bias = _logistic(rows, columns, values, labels, len(chosen), prior)
+    weights, bias = _logistic(rows, columns, values, labels, weight, len(chosen), prior)
     return Model(chosen, (weights * ratio[chosen]).astype(np.float32), bias)
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, bias: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on a sparse matrix by Newton steps, each solved by conjugate gradients."""
+def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, weight: np.ndarray, width: int, bias: float) -> tuple[np.ndarray, float]:
+    """Weighted ridge logistic regression on a sparse matrix by Newton steps, each solved by conjugate gradients."""
     n = len(labels)
     times = lambda w: np.bincount(rows, values * w[columns], n) + w[-1]
     back = lambda r: np.append(np.bincount(columns, values * r[rows], width), r.sum())
@@ -106,13 +111,13 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels:
 
     def loss(w):
         z = times(w)
-        return float((np.logaddexp(0, z) - labels * z).sum() + 0.5 * (ridge * w * w).sum())
+        return float((weight * (np.logaddexp(0, z) - labels * z)).sum() + 0.5 * (ridge * w * w).sum())
 
     now = loss(w)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(times(w), -500, 500)))
-        grad = back(p - labels) + ridge * w
-        curve = p * (1 - p)
+        grad = back(weight * (p - labels)) + ridge * w
+        curve = weight * p * (1 - p)
         step, rest = np.zeros_like(w), -grad
         to, size = rest.copy(), rest @ rest
         for _ in range(60):
@@ -138,14 +143,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) to learn from: not held out, neither null; of several labels of a document the largest."""
+    return labels.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int], derive=None) -> pd.DataFrame:
     """Texts and labels to learn from: not held out, at most most[y] of each class, by least hash of the id.
 
     A document with several labels counts once, with the largest; null labels and texts are left out.
     ``derive``, a Column of the text, replaces it before it leaves the executors.
     """
-    y = labels.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
-    y = y.withColumn("h", F.xxhash64(F.lit("train"), "doc_id"))
+    y = learnable(labels, label).withColumn("h", F.xxhash64(F.lit("train"), "doc_id"))
     chosen = None
     for value, n in most.items():
         part = y.where(F.col("y") == value).orderBy("h", "doc_id").limit(n)
@@ -158,10 +167,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels(doc_id, toxic)`` on a sample bounded by POSITIVE and NEGATIVE texts, on the driver.
 
-    Rows that :func:`held_out` marks, and all columns but the text, have no part in it.
+    The sample is weighted back to the classes' shares of all labels to learn from. Rows that
+    :func:`held_out` marks, and all columns but the text, have no part in it.
     """
-    rows = labelled_sample(documents, labels, "toxic", {1: POSITIVE, 0: NEGATIVE})
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    most = {1: POSITIVE, 0: NEGATIVE}
+    rows = labelled_sample(documents, labels, "toxic", most)
+    y = rows["y"].to_numpy()
+    counts = {r["y"]: r["count"] for r in learnable(labels, "toxic").groupBy("y").count().collect()}
+    weight = np.array([max(1.0, counts[v] / most[v]) for v in y.tolist()])
+    return fit(rows["text"].tolist(), y, weight / weight.mean() if len(y) else weight)
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

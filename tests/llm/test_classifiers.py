@@ -51,6 +51,18 @@ def test_held_out_labels_have_no_part(spark):
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in one)
 
 
+def test_bounded_sample_keeps_the_class_shares(spark, monkeypatch):
+    """Borderline texts, a quarter of them toxic, score a quarter however few of each class are learnt from."""
+    docs = spark.createDataFrame([(i, "grey borderline words" if i % 5 == 0 else "plain usual talk") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "POSITIVE", 60)
+    monkeypatch.setattr(toxicity, "NEGATIVE", 120)
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    assert not any(r.predicted for r in rows)
+    grey, plain = ({round(r.score, 6) for r in rows if (r.doc_id % 5 == 0) == x} for x in (True, False))
+    assert len(grey) == len(plain) == 1 and 0.15 < min(grey) < 0.4 and max(plain) < 0.05
+
+
 def test_lookup_tables_learn_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((4000, 4))
