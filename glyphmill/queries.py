@@ -518,21 +518,27 @@ def necessary_sectors(spark, sf):
 
 @query("SELECT p_brand, CAST(p_partkey % 1024 AS INT) AS chunk_index, max(p_partkey) AS id, arg_max(p_name, p_partkey) AS name FROM part GROUP BY p_brand, p_partkey % 1024")
 def region_roundtrip(spark, sf):
-    """A region for each brand: written, read, decoded."""
-    cells = _t(spark, sf, "part").groupBy("p_brand", F.expr("CAST(p_partkey % 1024 AS INT) AS i")).agg(F.max("p_partkey").alias("id"), F.max_by("p_name", "p_partkey").alias("name"))
-    made = cells.groupBy("p_brand").agg(F.collect_list(F.struct("i", "id", "name")).alias("cells"))
-
-    def build(rows) -> bytes:
-        chunks = [anvil.Chunk(int(r["i"]), 1 + int(r["i"]) % 3, b"", 7).replaced({"id": Num("long", int(r["id"])), "name": r["name"]}) for r in rows]
-        return anvil.write(chunks)
+    """Every part written, read and decoded; then the last part of each brand's cells, as the SQL has it."""
 
     def read(raw):
         for c in anvil.read(bytes(raw)):
             tree = c.tree()
             yield {"chunk_index": c.index, "id": tree["id"].value, "name": tree["name"]}
 
-    files = made.select("p_brand", scalar(build, "binary", "cells").alias("content"))
-    return exploded(files, read, "chunk_index int, id long, name string", "content").drop("content")
+    chunks = exploded(region_files(spark, sf), read, "chunk_index int, id long, name string", "content")
+    return chunks.groupBy("p_brand", "chunk_index").agg(F.max("id").alias("id"), F.max_by("name", "id").alias("name"))
+
+
+def region_files(spark, sf):
+    """(p_brand, region, content): a region for each brand and 1024 part keys, with a chunk for each part."""
+    parts = _t(spark, sf, "part").selectExpr("p_brand", "p_partkey DIV 1024 AS region", "CAST(p_partkey % 1024 AS INT) AS i", "p_partkey AS id", "p_name AS name")
+    made = parts.groupBy("p_brand", "region").agg(F.collect_list(F.struct("i", "id", "name")).alias("cells"))
+
+    def build(rows) -> bytes:
+        chunks = [anvil.Chunk(int(r["i"]), 1 + int(r["i"]) % 3, b"", 7).replaced({"id": Num("long", int(r["id"])), "name": r["name"]}) for r in rows]
+        return anvil.write(chunks)
+
+    return made.select("p_brand", "region", scalar(build, "binary", "cells").alias("content"))
 
 
 @query("SELECT p_partkey, CAST(p_partkey % 1024 AS INT) AS chunk_index, '>#block_entities>0>#CustomName' AS pointer, p_name AS content FROM part")

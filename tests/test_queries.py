@@ -1,6 +1,7 @@
 import pytest
 
-from glyphmill.queries import ORACLE_SQL, QUERIES
+from glyphmill.parse import anvil
+from glyphmill.queries import ORACLE_SQL, QUERIES, region_files
 
 from .oracle import same
 
@@ -15,3 +16,10 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_region_roundtrip_writes_every_part(spark):
+    sf = "/root/testdata/sf0.1"
+    found = [c.tree()["id"].value for r in region_files(spark, sf).collect() for c in anvil.read(bytes(r.content))]
+    assert sorted(found) == sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
+    same(QUERIES["region_roundtrip"](spark, sf), ORACLE_SQL["region_roundtrip"], sf)
