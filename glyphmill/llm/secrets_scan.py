@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings without one.
 
 Ordinary text takes few tokens of a byte-pair vocabulary, a random string takes many: a long run of
-key characters with a low number of characters a token is reported, unless it overlaps a pattern's
-span or has the form of a known digest, a UUID, a number or an identifier made of words.
+key characters with a low number of characters a token is reported, unless patterns' spans cover it or
+it has the form of a known digest, a UUID, a number or an identifier made of words. A run that holds
+hex or access spans is judged by the rest of it and reported whole; one that an assignment's key ends,
+by what comes before.
 """
 
 from __future__ import annotations
@@ -41,12 +43,22 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """A digest, UUID or number, or an identifier: made of words of three letters or more, with short numbers."""
-    if _DIGEST.fullmatch(run) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run) or (run.lower() != run and run.upper() != run)):
+def is_random(parts: list[str], vocabulary: str = VOCABULARY) -> bool:
+    """Fewer characters a token than RATIO, the parts together."""
+    return sum(map(len, parts)) < RATIO * sum(len(encoding(vocabulary).encode_ordinary(x)) for x in parts)
+
+
+def is_known(run: str, vocabulary: str = VOCABULARY) -> bool:
+    """A digest, UUID or number, or an identifier: made of words of three letters or more, with short numbers.
+
+    Letters of one case are words if they take few tokens.
+    """
+    if _DIGEST.fullmatch(run) or not any(c.isalpha() for c in run):
         return True
     parts = _PART.findall(run)
     letters = [p for p in parts if p.isalpha()]
+    if len(letters) == len(parts) and (run.lower() == run or run.upper() == run):
+        return not is_random(letters, vocabulary)
     return all(len(p) >= 3 for p in letters) and all(len(p) <= 4 for p in parts if p.isdigit())
 
 
@@ -59,12 +71,21 @@ def scan(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[str, int,
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted((s, e) for s, _, e in found)
+    base = sorted(found)
     for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e in base) or is_known(m[0]):
+        start, end = m.span()
+        over = [(s, k, e) for s, k, e in base if s < end and start < e]
+        end = min([end, *(s for s, k, _ in over if k == 0)])  # an assignment's value goes on to the run's end
+        if end - start < LEAST:
             continue
-        if len(m[0]) < RATIO * len(encoding(vocabulary).encode_ordinary(m[0])):
-            found.append((m.start(), 3, m.end()))
+        rest, at = [], start
+        for s, _, e in [*(x for x in over if x[1] and x[0] < end), (end, 3, end)]:
+            if s > at:
+                rest.append(text[at:s])
+            at = max(at, e)
+        rest = [x for x in rest if not is_known(x, vocabulary)]
+        if rest and is_random(rest, vocabulary):
+            found.append((start, 3, end))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
