@@ -4,31 +4,32 @@ The model's protobuf is parsed here. A unigram model becomes ``Unigram`` with it
 fallback, a BPE model becomes ``BPE`` with merges ranked by the scores of the pieces that they make.
 The normaliser (character map, dummy prefix, extra white space) and the marker for spaces are rebuilt.
 
-Where no piece holds a space marker after another character, no piece spans two words, so each
-run of markers with what follows is encoded once and kept in a bounded table.
+A merge of a BPE model makes a piece, so none reaches over two characters that stand side by side in
+no piece. Texts are cut there, which leaves parts that repeat often: a chunk of texts is one Arrow
+column of parts, the library encodes its distinct ones, many to a line, and ids are gathered by part.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.arrays import released
+from glyphmill.llm.arrays import chunks, released, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a Python worker keeps; beyond it the table starts anew.
-KEPT = 60_000
+#: Texts are encoded about so many bytes at a time, whole, and their distinct parts so many to a line.
+BYTES, GROUP = 2 << 20, 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, object]]:
@@ -157,8 +158,15 @@ class Codec:
         self.tokenizer = Tokenizer(core)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.by_word = model.model_type == BPE and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL)
-        self.kept: dict[str, np.ndarray] = {}
+        self._joined = None if model.model_type == UNIGRAM or USER in model.kinds else _Joined(model)
+        self._spelled()
+
+    def _spelled(self) -> None:
+        """Bytes of each piece, one after the other, as decoding writes them."""
+        spelled = [bytes((int(p[3:5], 16),)) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
+        self.spelt = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelt_sizes = np.array([len(x) for x in spelled], np.int64)
+        self.spelt_at = np.cumsum(self.spelt_sizes) - self.spelt_sizes
 
     def marked(self, text: str) -> str:
         """The text as the pieces see it: normalised, with the dummy prefix and markers for spaces."""
@@ -169,19 +177,41 @@ class Codec:
         return text.rstrip(SPACE) if self.model.extra_spaces else text
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null counts as empty. The library's threads share a batch."""
-        marked = [self.marked(x or "") for x in texts]
-        if not self.by_word:
-            return [self._with_bytes(x, e) for x, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
-        words = [_WORDS.findall(x) for x in marked]
-        missing = list({w for own in words for w in own if w not in self.kept})
-        if len(self.kept) + len(missing) > KEPT:
-            self.kept = {}
-            missing = list({w for own in words for w in own})
-        for word, done in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.kept[word] = np.array(done.ids, np.int32)
-        kept, none = self.kept, np.zeros(0, np.int32)
-        return [np.concatenate([kept[w] for w in own]) if own else none for own in words]
+        """Ids of each text; null counts as empty."""
+        flat, first = self.ids_of([self.marked(x or "") for x in texts])
+        return [flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def ids_of(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all marked texts in a row, and where each text's begin. The library's threads share a batch."""
+        if self._joined is None:
+            done = [self._with_bytes(x, e) for x, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
+            return np.concatenate([*done, np.zeros(0, np.int32)]), _edges([len(x) for x in done])
+        parts, first = self._joined.parts(marked)
+        coded = parts.dictionary_encode()
+        ids, at, sizes = self._distinct(coded.dictionary)
+        which = coded.indices.to_numpy()
+        return _ragged(ids, at, sizes, which), _edges(sizes[which])[first]
+
+    def _distinct(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct parts: all in a row, and where each one's begin and how many it has.
+
+        A line break that no longer piece holds parts words that are encoded together.
+        """
+        mark = self._joined.mark
+        if mark is None:
+            done = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+            sizes = np.array([len(x) for x in done], np.int64)
+            return np.concatenate([*done, np.zeros(0, np.int32)]), np.cumsum(sizes) - sizes, sizes
+        lone = pc.equal(words, "\n")
+        words = pc.if_else(lone, "", words.cast(pa.string()))
+        groups = np.unique(np.append(np.arange(0, len(words), GROUP), len(words))).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups), words), "\n").to_pylist()
+        done = [np.array([*e.ids, mark], np.int32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*done, np.zeros(0, np.int32)])
+        ends = np.flatnonzero(ids == mark)
+        at = np.concatenate([[0], ends + 1])[:-1]
+        own = lone.to_numpy(zero_copy_only=False)
+        return ids, np.where(own, ends, at), np.where(own, 1, ends - at)
 
     def _with_bytes(self, text: str, encoding) -> np.ndarray:
         """Ids of a unigram encoding, each unknown stretch as its bytes where the model has these."""
@@ -190,24 +220,89 @@ class Codec:
             ids = [j for i, (s, e) in zip(ids, encoding.offsets, strict=True) for j in ([self.byte_ids[b] for b in text[s:e].encode()] if i == self.model.unk_id else [i])]
         return np.array(ids, np.int32)
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts of ids; the dummy prefix goes."""
-        pieces = self.model.pieces
-        if self.model.model_type == UNIGRAM:
-            out = [self.tokenizer.decoder.decode([pieces[i] for i in x]) for x in ids]
-        else:
-            out = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        return [x[1:] if self.model.dummy_prefix and x[:1] == " " else x for x in out]
+    def bytes_of(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ids of several texts spell, without dummy prefixes, and where each text begins."""
+        data = _ragged(self.spelt, self.spelt_at, self.spelt_sizes, flat)
+        edges = _edges(self.spelt_sizes[flat])[first]
+        if not self.model.dummy_prefix:
+            return data, edges
+        begun = edges[:-1][edges[:-1] < edges[1:]]
+        gone = np.zeros(len(data) + 1, np.int64)
+        gone[begun[data[begun] == 32]] = 1
+        return data[gone[:-1] == 0], edges - (np.cumsum(gone) - gone)[edges]
 
-    def round_trip(self, text: str) -> str:
-        """What decoding an encoded text gives, if no character is unknown."""
-        x = self.marked(text).replace(SPACE, " ")
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of ids; the dummy prefix goes. Bytes that aren't UTF-8 are left to the library."""
+        first = _edges([len(x) for x in ids])
+        data, edges = self.bytes_of(np.concatenate([*(np.asarray(x, np.int64) for x in ids), np.zeros(0, np.int64)]), first)
+        raw, out = data.tobytes(), []
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            try:
+                out.append(raw[a:b].decode())
+            except UnicodeDecodeError:
+                x = self.tokenizer.decoder.decode([self.model.pieces[j] for j in ids[i]])
+                out.append(x[1:] if self.model.dummy_prefix and x[:1] == " " else x)
+        return out
+
+    def plain(self, marked: str) -> str:
+        """What decoding gives for a marked text, if no character is unknown."""
+        x = marked.replace(SPACE, " ")
         return x[1:] if self.model.dummy_prefix else x
 
 
 #: Begins the names of pieces that no text may match.
 _NEVER = "\U0010ffff\U0010fffe never matched "
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def _edges(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+
+
+def _ragged(values: np.ndarray, at: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """values[at[i] : at[i] + sizes[i]] for each i of which, one after the other."""
+    n = sizes[which]
+    end = np.cumsum(n)
+    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(at[which] - end + n, n)]
+
+
+class _Joined:
+    """Which characters stand side by side in a piece of a BPE model; a filter that may say so of others, too."""
+
+    BITS = 20
+
+    def __init__(self, model: Model):
+        own = [p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL]
+        self.classes = np.zeros(0x110000, np.uint16)
+        known = sorted({c for p in own for c in p if len(p) > 1} | (set() if model.byte_fallback else {p for p in own if len(p) == 1}))
+        self.classes[[ord(c) for c in known]] = (np.arange(len(known)) % 65535 + 1).astype(np.uint16)
+        pairs = np.array([(ord(a), ord(b)) for p in own for a, b in zip(p, p[1:], strict=False)], np.int64).reshape(-1, 2)
+        self.filter = np.zeros(1 << self.BITS, bool)
+        self.filter[self._cell(*(self.classes[pairs[:, i]] for i in range(2)))] = True
+        if not model.byte_fallback:  # unknown characters side by side are one unknown piece
+            self.filter[0] = True
+        alone = [i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if (p, k) in (("\n", NORMAL), ("<0x0A>", BYTE))]
+        self.mark = alone[0] if len(alone) == 1 and (model.byte_fallback or model.kinds[alone[0]] == NORMAL) and not any("\n" in p and len(p) > 1 for p in own) else None
+
+    def _cell(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.uint32) * np.uint32(40503) + b) & np.uint32((1 << self.BITS) - 1)
+
+    def parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, and where each text's begin."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        ends = _edges([len(x) for x in texts])
+        cut = np.ones(len(points) + 1, bool)
+        own = self.classes[points]
+        cut[1:-1] = ~self.filter[self._cell(own[:-1], own[1:])] if len(points) else True
+        if self.mark is not None:
+            lone = np.flatnonzero(points == 10)
+            cut[lone] = cut[lone + 1] = True
+        cut[ends] = True
+        places = np.flatnonzero(cut) if len(points) else np.zeros(1, np.int64)
+        wide = points >= 0x80
+        size = 1 + wide.astype(np.int64) if not (points >= 0x800).any() else 1 + wide.astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        offsets = _edges(size)[places]
+        raw = "".join(texts).encode()
+        return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)), np.searchsorted(places, ends)
 
 
 @functools.lru_cache(maxsize=4)
@@ -219,7 +314,8 @@ def encoded(documents: DataFrame, model: bytes, keep: list[str] | None = None) -
     """The columns in ``keep`` (all of them if None) with n_tokens, ids (array<int>) and decoded.
 
     The model's bytes travel with the task. A null text has no tokens and decodes to ''. Names that
-    clash with the added columns are replaced. Rows are encoded 64 at a time, whole.
+    clash with the added columns are replaced. Rows are encoded about BYTES of text at a time, whole;
+    each stands alone, so repeated rows and null ids come out as they are, and an empty table gives none.
     """
     keep = [c for c in (keep or documents.columns) if c not in ("n_tokens", "ids", "decoded")]
     source = documents.select(*keep, documents["text"].alias("_text"))
@@ -229,22 +325,28 @@ def encoded(documents: DataFrame, model: bytes, keep: list[str] | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                ids = coder.encode(part.column(len(keep)).to_pylist())
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes), lists, pa.array(coder.decode(ids), pa.string())], [*keep, "n_tokens", "ids", "decoded"])
+            for part, texts in _slices(batch, len(keep)):
+                flat, first = coder.ids_of([coder.marked(x) for x in texts])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+                decoded = coder.decode([flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(np.diff(first)), lists, pa.array(decoded, pa.string())], [*keep, "n_tokens", "ids", "decoded"])
 
     return source.mapInArrow(run, (schema + ", " if schema else "") + "n_tokens long, ids array<int>, decoded string")
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch of about BYTES of text, and their texts; null counts as empty."""
+    for a, b in chunks(text_bytes(batch.column(column))[1], BYTES):
+        part = batch.slice(a, b - a)
+        yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
 def token_digests(documents: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, n_tokens, n_unknown, ids_sha256, decoded_sha256, round_trip) of each whole text.
 
     ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip tells whether decoding gives
     back the normalised text, which holds unless a character has neither a piece nor byte fallback.
+    Null counts as empty, which has no tokens; each row stands alone, and only doc_id and text are read.
     """
     names = ["n_tokens", "n_unknown", "ids_sha256", "decoded_sha256", "round_trip"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
@@ -253,13 +355,15 @@ def token_digests(documents: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                ids = coder.encode(texts)
+            for part, texts in _slices(batch, 1):
+                marked = [coder.marked(x) for x in texts]
+                flat, first = coder.ids_of(marked)
+                unknown = _edges(flat == coder.model.unk_id)[first]
+                decoded = [x.encode() for x in coder.decode([flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])]
+                little = flat.astype("<i4")
                 rows = [
-                    (len(x), int((x == coder.model.unk_id).sum()), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(y.encode()).hexdigest(), y == coder.round_trip(t))
-                    for t, x, y in zip(texts, ids, coder.decode(ids), strict=True)
+                    (b - a, n, hashlib.sha256(little[a:b].tobytes()).hexdigest(), hashlib.sha256(y).hexdigest(), y == coder.plain(m).encode())
+                    for a, b, n, m, y in zip(first[:-1].tolist(), first[1:].tolist(), np.diff(unknown).tolist(), marked, decoded, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
@@ -274,7 +378,11 @@ def load_model(path: str = MODEL) -> bytes:
 
 
 def parity(raw: bytes, texts: list[str]) -> list[int]:
-    """Numbers of the texts whose ids differ from the sentencepiece library's."""
+    """Numbers of the texts whose ids differ from the sentencepiece library's.
+
+    None for BPE. For unigram models the library adds scores in 32 bits, so over long texts it may pick
+    another segmentation of (nearly) the same score.
+    """
     import sentencepiece
 
     other = sentencepiece.SentencePieceProcessor(model_proto=raw)
