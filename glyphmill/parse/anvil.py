@@ -29,6 +29,9 @@ class Chunk:
         return self.named()[1]
 
     def named(self) -> tuple[str, object]:
+        """Name and tree; RegionError where the bytes aren't of a kind that is decoded here, or don't decode."""
+        if self.kind not in (GZIP, ZLIB, PLAIN):
+            raise RegionError(f"chunk {self.index} has compression {self.kind}")
         try:
             raw = {GZIP: gzip.decompress, ZLIB: zlib.decompress, PLAIN: bytes}[self.kind](self.data)
         except (OSError, EOFError, zlib.error) as e:
@@ -50,7 +53,7 @@ def sectors(size: int) -> int:
 
 
 def read(raw: bytes) -> list[Chunk]:
-    """The chunks of a file that can be read; those of unknown compression are left out."""
+    """The chunks of a file with their stored bytes, whatever their compression; a chunk whose bytes lie beyond the file's end has none and is left out."""
     if len(raw) < LEAST:
         raise RegionError("too small a file")
     offsets, times = struct.unpack_from(f">{CHUNKS}I", raw, 0), struct.unpack_from(f">{CHUNKS}I", raw, SECTOR)
@@ -62,7 +65,7 @@ def read(raw: bytes) -> list[Chunk]:
         size, kind = struct.unpack_from(">iB", raw, at)
         if size < 1 or size + 4 > count * SECTOR:
             raise RegionError(f"chunk {i} has a bad size")
-        if kind in (GZIP, ZLIB, PLAIN) and at + 4 + size <= len(raw):
+        if at + 4 + size <= len(raw):
             out.append(Chunk(i, kind, raw[at + 5 : at + 4 + size], times[i]))
     return out
 

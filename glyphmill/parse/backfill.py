@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from glyphmill.parse import njson, pointer, snbt
 from glyphmill.parse.commands import splice
-from glyphmill.parse.extract import Found, quoted, unquoted
+from glyphmill.parse.extract import Found, Slice, quoted, syntax_of, unquoted
+
 
+#: Says for each text, in order, what replaces it; None leaves it.
+Pick = Callable[[str], str | None]
 
-def replace_found(found: Found, mapping: dict[str, str | None]) -> str | None:
+
+def replace_found(found: Found, pick: Pick) -> str | None:
     """The content with its texts replaced, or None if nothing of it is to be.
 
-    Commands come back even where no text was in the mapping; a null target replaces nothing.
+    ``pick`` is asked for the texts in the order of Found.leaves. Commands come back even where nothing
+    in them is replaced.
     """
     if found.kind == "text":
-        return mapping.get(found.content)
+        return pick(found.content)
     if found.kind == "command":
         spans = []
         for s in found.slices:
-            new = mapping.get(unquoted(s.content, s.syntax))
+            new = pick(unquoted(s.content, s.syntax))
             spans.append((s.start, s.end, s.content if new is None else quoted(new, s.syntax)))
         return splice(found.content, spans)
-    new = [(f.pointer, f.format, r) for f in found.inner if (r := replace_found(f, mapping)) is not None]
+    new = [(f.pointer, f.format, r) for f in found.inner if (r := replace_found(f, pick)) is not None and r != f.content]
     if not new:
         return None
     if found.format.startswith("json"):
@@ -28,6 +36,34 @@ def replace_found(found: Found, mapping: dict[str, str | None]) -> str | None:
     return snbt.write(fill(snbt.to_tree(snbt.parse(found.content)), new, "nbt_obj"))
 
 
+def replaced_tree(tree: object, found: list[Found], pick: Pick, whole: str) -> object | None:
+    """The tree with the texts of all it holds, commands and structures too, replaced; None if nothing changes."""
+    new = [(f.pointer, f.format, r) for f in found if (r := replace_found(f, pick)) is not None and r != f.content]
+    return fill(tree, new, whole) if new else None
+
+
+def replaced_commands(text: str, slices: list[Slice], pick: Pick) -> str | None:
+    """A function file with its slices replaced; None if nothing changes."""
+    new = [(s.start, s.end, to, s.syntax) for s in slices if (to := pick(s.content)) is not None]
+    return spans_file(text, new) if new else None
+
+
+def by_mapping(mapping: dict[str, str | None]) -> Pick:
+    """A text as it stands, or else the content of a string literal, looked up in a mapping."""
+
+    def pick(text: str) -> str | None:
+        found = mapping.get(text)
+        return mapping.get(unquoted(text, syntax_of(text))) if found is None else found
+
+    return pick
+
+
+def by_ordinal(replacements: dict[int, str]) -> Pick:
+    """The n-th text asked for gets the n-th replacement."""
+    count = itertools.count()
+    return lambda text: replacements.get(next(count))
+
+
 def _trie(replacements: list[tuple[str, str, str]]) -> dict:
     """{point: branch}, with (format, text) of the first replacement of an end under None."""
     root: dict = {}
@@ -85,5 +121,3 @@ def _compound(value: object) -> object:
 def spans_file(text: str, spans: list[tuple[int, int, str, str | None]]) -> str:
     """A function file with (start, end, replacement, syntax) spans replaced; string syntaxes get double quotes."""
     return splice(text, [(s, e, quoted(new, syntax)) for s, e, new, syntax in spans])
-
-

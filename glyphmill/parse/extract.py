@@ -109,6 +109,7 @@ def json_texts(text: str, catalog: Patterns) -> list[Found]:
 
 # --- commands -------------------------------------------------------------------------------------
 
+# The forms of target selectors, their names, item stacks and blocks in commands.
 _SELECTOR = re.compile(r"@[praesn]\[.*\]", re.S)
 _NAME = re.compile(r"""name=(!?)("(?:\\.|.)*?"|'.*?'|\w[\w:]*|:[\w:]*|)[,\]]""", re.A)
 _STACK = re.compile(r"(?P<id>[\w:.]+)(?:\[(?P<new>.*)\]|(?P<old>\{.*\}))?", re.A)
@@ -120,7 +121,7 @@ class Unselected(ValueError):
     """A selection that doesn't apply: the whole argument is taken instead."""
 
 
-def _syntax(text: str) -> str:
+def syntax_of(text: str) -> str:
     for quote, name in (("'", "SingleQuoteString"), ('"', "DoubleQuoteString")):
         if len(text) > 1 and text[0] == text[-1] == quote:
             return name
@@ -132,7 +133,7 @@ def _selector_names(command: Command) -> Iterator[Slice]:
         if _SELECTOR.fullmatch(arg.content):
             found = _NAME.search(arg.content)
             if found:
-                yield Slice(arg.start + found.start(2), arg.start + found.end(2), found[2], _syntax(found[2]), "plain_str")
+                yield Slice(arg.start + found.start(2), arg.start + found.end(2), found[2], syntax_of(found[2]), "plain_str")
 
 
 def _node_texts(text: str, node: snbt.Node, at: tuple = ()) -> Iterator[tuple[tuple, snbt.Node]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -50,21 +49,22 @@ class Project:
 
     def build(self, spark: SparkSession, mapping: DataFrame, target: str) -> int:
         """A copy of the world below ``target`` with all translations in; rules go before the mapping. The number of files rewritten."""
-        region_texts, pack_texts = self.texts(spark)
-        region_texts, pack_texts = (x.where("error IS NULL") for x in (region_texts, pack_texts))
+        region_texts, pack_texts = (x.where("error IS NULL") for x in self.texts(spark))
         pool = p.text_pool(region_texts).unionByName(p.text_pool(pack_texts)).distinct()
-        own = t.by_rules(pool, self.book).where("target IS NOT NULL")
-        full = m.merged(mapping, own)
-        plain = region_texts.where("inner_pointer = '' AND syntax IS NULL")
-        to_regions = m.lookup(plain, full).withColumn("pointer", F.col("outer_pointer"))
-        spans = pack_texts.where("outer_pointer IS NULL OR (inner_pointer = '' AND syntax IS NULL)").withColumn("pointer", F.col("outer_pointer"))
-        to_packs = m.lookup(spans, full)
-        shutil.copytree(self.root, target, dirs_exist_ok=True)
-        n = world.write_files(world.filled_regions(world.regions(spark, self.root), to_regions), target)
-        packs = world.filled_packs(world.pack_files(spark, self.root), to_packs).persist()
+        full = m.merged(mapping, t.by_rules(pool, self.book).where("target IS NOT NULL"))
+        regions = world.translated_regions(world.regions(spark, self.root), region_texts, full, self.patterns)
+        return self.copied(spark, target, regions, world.translated_packs(world.pack_files(spark, self.root), pack_texts, full, self.patterns))
+
+    def copied(self, spark: SparkSession, target: str, regions: DataFrame | None = None, packs: DataFrame | None = None) -> int:
+        """A copy of the world with regions(path, content) and pack files(source, path, content) in place of its own; how many of them."""
+        world.copy_folder(spark, self.root, target)
+        n = 0 if regions is None else world.write_files(regions, target)
+        if packs is None:
+            return n
+        packs = packs.persist()
         zipped = F.col("source").endswith(".zip")
         n += world.write_files(packs.where(~zipped).select(F.concat(F.lit("datapacks/"), "source", F.lit("/"), "path").alias("path"), "content"), target)
-        archives = world.files(spark, self.root, "*.zip").where(F.col("path").rlike("^datapacks/[^/]*$")).select(F.substring_index("path", "/", -1).alias("source"), "content")
+        archives = world.files(spark, self.root, "*.zip", "datapacks").where(F.col("path").rlike("^datapacks/[^/]*$")).select(F.substring_index("path", "/", -1).alias("source"), "content")
         n += world.write_files(world.filled_archives(archives, packs.where(zipped)).select(F.concat(F.lit("datapacks/"), "source").alias("path"), "content"), target)
         packs.unpersist()
         return n

@@ -648,12 +648,12 @@ def replace_constant(spark, sf):
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('say ', p_brand) ELSE concat('say ', p_name) END AS filled FROM part""")
 def command_replace(spark, sf):
     """A command in NBT, replaced by a mapping; without a target it comes back as it was."""
-    from glyphmill.parse.backfill import replace_found
+    from glyphmill.parse.backfill import by_mapping, replace_found
     from glyphmill.parse.extract import nbt_texts
 
     def run(name: str, brand: str, size: int) -> str:
         (found,) = nbt_texts({"tile": {"Command": f"say {name}"}}, catalog.builtin())
-        return replace_found(found, {name: brand} if size % 2 == 0 else {name: None})
+        return replace_found(found, by_mapping({name: brand} if size % 2 == 0 else {name: None}))
 
     return _t(spark, sf, "part").select("p_partkey", scalar(run, "string", "p_name", "p_brand", "p_size").alias("filled"))
 

@@ -7,14 +7,15 @@ or an archive is one row and one unit of work; a chunk or an entry is a row of i
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import extension
+from glyphmill.functions.text import double_unquoted, extension, single_unquoted
 from glyphmill.functions.udfs import exploded, scalar
 from glyphmill.operators.extraction import LEAVES, SPANS, _error, _leaves
 from glyphmill.parse import anvil, backfill, extract, nbt, njson, snbt
@@ -25,17 +26,37 @@ from glyphmill.plans.patterns import Patterns
 NEW_LAYOUT = 4774
 
 
-def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, content, length) of all files below a folder; path is relative to it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def files(spark: SparkSession, root: str, glob: str = "*", below: str = "") -> DataFrame:
+    """(path, content, length) of all files below a folder, or below a folder or file in it; path is relative to ``root``. None where there is none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    place = f"{root.rstrip('/')}/{below}".rstrip("/")
+    if below and not _exists(spark, place):
+        return spark.createDataFrame([], "path string, content binary, length long")
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     relative = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
-    return found.select(relative.alias("path"), "content", "length")
+    return found.load(place).select(relative.alias("path"), "content", "length")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a folder between stores that Spark reads, a file at a time in buffers; files that are there are replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    old_fs, new_fs = old.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileSystem.newInstance(new.toUri(), conf)
+    new_fs.setWriteChecksum(False)  # no checksum files beside those of a local folder, which later writers wouldn't renew
+    new_fs.mkdirs(new)
+    for child in old_fs.listStatus(old):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(old_fs, child.getPath(), new_fs, new, False, True, conf)
+    new_fs.close()
 
 
 def data_version(spark: SparkSession, root: str) -> int | None:
     """The version in level.dat; ValueError if there is no such file, None if it doesn't tell."""
-    rows = files(spark, root, "level.dat").where("path = 'level.dat'").collect()
+    rows = files(spark, root, below="level.dat").collect()
     if not rows:
         raise ValueError("no level.dat: not a world")
     try:
@@ -94,14 +115,33 @@ def region_texts(regions: DataFrame, patterns: Patterns | None = None) -> DataFr
     return exploded(regions.withColumnRenamed("content", "_bytes"), run, "chunk_index int, " + LEAVES, "_bytes").drop("_bytes")
 
 
+def _chunks(content: bytes) -> list[anvil.Chunk]:
+    """The chunks of a region, or none where it can't be read."""
+    try:
+        return anvil.read(bytes(content))
+    except anvil.RegionError:
+        return []
+
+
 def region_chunks(regions: DataFrame) -> DataFrame:
-    """(…, chunk_index, compression, time, snbt) of every chunk."""
+    """(…, chunk_index, compression, time, snbt, error) of every chunk; of one that can't be decoded snbt is null, and a region that can't be read is one row."""
 
     def run(content: bytes) -> Iterator[dict]:
-        for c in anvil.read(bytes(content)):
-            yield {"chunk_index": c.index, "compression": c.kind, "time": c.time, "snbt": snbt.write(c.tree())}
+        try:
+            chunks = anvil.read(bytes(content))
+        except anvil.RegionError as e:
+            yield {"error": str(e)}
+            return
+        for c in chunks:
+            row = {"chunk_index": c.index, "compression": c.kind, "time": c.time}
+            try:
+                yield row | {"snbt": snbt.write(c.tree()), "error": None}
+            except ValueError as e:
+                yield row | {"error": str(e)}
 
-    return exploded(regions, run, "chunk_index int, compression int, time long, snbt string", "content").drop("content")
+    schema = "chunk_index int, compression int, time long, snbt string, error string"
+    none = dict.fromkeys(x.split()[0] for x in schema.split(", "))
+    return exploded(regions, lambda content: (none | x for x in run(content)), schema, "content").drop("content")
 
 
 _TYPED = {
@@ -124,7 +164,7 @@ def typed_chunks(regions: DataFrame, kind: str) -> DataFrame:
     schema, fields = _TYPED[kind]
 
     def run(content: bytes) -> Iterator[dict]:
-        for c in anvil.read(bytes(content)):
+        for c in _chunks(content):
             try:
                 yield {"chunk_index": c.index} | {f"chunk_{k}": v for k, v in fields(c.tree()).items()}
             except (ValueError, AttributeError, TypeError):
@@ -136,36 +176,120 @@ def typed_chunks(regions: DataFrame, kind: str) -> DataFrame:
 
 
 def region_dump(regions: DataFrame) -> DataFrame:
-    """(…, dump): all chunks of a region as readable SNBT."""
+    """(…, dump): all chunks of a region as readable SNBT; null for a region that can't be read."""
+
+    def text(chunk: anvil.Chunk | None) -> str:
+        if chunk is None:
+            return "<empty_chunk>"
+        try:
+            return snbt.pretty(chunk.tree())
+        except ValueError as e:
+            return f"<unreadable: {e}>"
 
-    def run(content: bytes) -> str:
-        found = {c.index: c for c in anvil.read(bytes(content))}
-        return "\n\n".join(f"Index {i}:\n{snbt.pretty(found[i].tree()) if i in found else '<empty_chunk>'}" for i in range(anvil.CHUNKS))
+    def run(content: bytes) -> str | None:
+        try:
+            found = {c.index: c for c in anvil.read(bytes(content))}
+        except anvil.RegionError:
+            return None
+        return "\n\n".join(f"Index {i}:\n{text(found.get(i))}" for i in range(anvil.CHUNKS))
 
     return regions.withColumn("dump", scalar(run, "string", "content")).drop("content")
 
 
+def _modified(content: bytes, change: Callable[[anvil.Chunk], anvil.Chunk], now: int | None) -> bytes | None:
+    """A region with its chunks changed; None if it can't be read. A chunk that can't be changed stays as it is."""
+    out = []
+    try:
+        for c in anvil.read(bytes(content)):
+            try:
+                out.append(change(c))
+            except ValueError:
+                out.append(c)
+        return anvil.write(out, now)
+    except anvil.RegionError:
+        return None
+
+
 def filled_regions(regions: DataFrame, replacements: DataFrame, now: int | None = None) -> DataFrame:
     """(path, content) of the regions that have replacements(path, ordinal, chunk_index, pointer, format, replacement).
 
-    Chunks without any stay byte for byte; times are set to ``now`` if given.
+    Chunks without any, and those that can't be decoded or take no such replacement, stay byte for byte, whatever
+    their compression; a region that can't be read gives no row. Times are set to ``now`` if given.
     """
     items = F.sort_array(F.collect_list(F.struct("ordinal", "chunk_index", "pointer", "format", "replacement"))).alias("items")
     joined = regions.select("path", "content").join(replacements.groupBy("path").agg(items), "path")
 
-    def run(content: bytes, rows) -> bytes:
+    def run(content: bytes, rows) -> bytes | None:
         own: dict[int, list] = {}
         for r in rows:
             own.setdefault(int(r["chunk_index"]), []).append((r["pointer"], r["format"], r["replacement"]))
-        out = []
-        for c in anvil.read(bytes(content)):
-            if c.index in own:
-                name, tree = c.named()
-                c = c.replaced(backfill.fill(tree, own[c.index], "nbt_obj"), name)
-            out.append(c)
-        return anvil.write(out, now)
 
-    return joined.select("path", scalar(run, "binary", "content", "items").alias("content"))
+        def change(c: anvil.Chunk) -> anvil.Chunk:
+            if c.index not in own:
+                return c
+            name, tree = c.named()
+            return c.replaced(backfill.fill(tree, own[c.index], "nbt_obj"), name)
+
+        return _modified(content, change, now)
+
+    return joined.select("path", scalar(run, "binary", "content", "items").alias("content")).where("content IS NOT NULL")
+
+
+def _pairs(texts: DataFrame, mapping: DataFrame, *keys: str) -> DataFrame:
+    """(keys, items): for each file its texts that have a target, with that; string literals by their content, too."""
+    text = F.col("content")
+    forms = F.array_compact(F.array(text, F.coalesce(double_unquoted(text), single_unquoted(text))))
+    own = texts.where(text.isNotNull()).select(*keys, F.explode(forms).alias("source")).distinct()
+    joined = own.join(mapping.where("target IS NOT NULL").select("source", "target"), "source")
+    return joined.groupBy(*keys).agg(F.collect_list(F.struct("source", "target")).alias("items"))
+
+
+def _rewritten_regions(regions: DataFrame, items: DataFrame, picker: Callable, patterns: Patterns | None, now: int | None) -> DataFrame:
+    """(path, content) of regions with items(path, items); picker(items) gives for a chunk's index what picks its replacements, or None."""
+    catalog = patterns or builtin()
+
+    def run(content: bytes, rows) -> bytes | None:
+        pick_of = picker(rows)
+
+        def change(c: anvil.Chunk) -> anvil.Chunk:
+            pick = pick_of(c.index)
+            if pick is None:
+                return c
+            name, tree = c.named()
+            new = backfill.replaced_tree(tree, extract.nbt_texts(tree, catalog), pick, "nbt_obj")
+            return c if new is None else c.replaced(new, name)
+
+        return _modified(content, change, now)
+
+    joined = regions.select("path", "content").join(items, "path")
+    return joined.select("path", scalar(run, "binary", "content", "items").alias("content")).where("content IS NOT NULL")
+
+
+def translated_regions(regions: DataFrame, texts: DataFrame, mapping: DataFrame, patterns: Patterns | None = None, now: int | None = None) -> DataFrame:
+    """(path, content) of the regions with ``texts(path, content, ...)`` of them replaced by mapping(source, target).
+
+    Plain texts, texts inside commands (only their spans change) and texts in nested structures. As with
+    filled_regions, whatever isn't replaced stays byte for byte.
+    """
+
+    def picker(rows):
+        pick = backfill.by_mapping({r["source"]: r["target"] for r in rows})
+        return lambda index: pick
+
+    return _rewritten_regions(regions, _pairs(texts, mapping, "path"), picker, patterns, now)
+
+
+def replaced_regions(regions: DataFrame, replacements: DataFrame, patterns: Patterns | None = None, now: int | None = None) -> DataFrame:
+    """(path, content) of the regions with replacements(path, chunk_index, ordinal, replacement): ordinals count a chunk's texts as region_texts does."""
+
+    def picker(rows):
+        own: dict[int, dict[int, str]] = {}
+        for r in rows:
+            own.setdefault(int(r["chunk_index"]), {})[int(r["ordinal"])] = r["replacement"]
+        return lambda index: backfill.by_ordinal(own[index]) if index in own else None
+
+    items = replacements.where("replacement IS NOT NULL").groupBy("path").agg(F.collect_list(F.struct("chunk_index", "ordinal", "replacement")).alias("items"))
+    return _rewritten_regions(regions, items, picker, patterns, now)
 
 
 def pack_files(spark: SparkSession, root: str) -> DataFrame:
@@ -173,7 +297,7 @@ def pack_files(spark: SparkSession, root: str) -> DataFrame:
 
     Only mcfunction, json and nbt files that aren't empty and have no __MACOSX in their path.
     """
-    found = files(spark, root).where(F.col("path").startswith("datapacks/"))
+    found = files(spark, root, below="datapacks")
     parts = F.split("path", "/")
     plain = found.where(F.size(parts) > 2).select(F.element_at(parts, 2).alias("source"), F.array_join(F.slice(parts, 3, 1000), "/").alias("path"), "content")
 
@@ -216,12 +340,14 @@ def pack_texts(packs: DataFrame, patterns: Patterns | None = None) -> DataFrame:
 
 
 def filled_packs(packs: DataFrame, replacements: DataFrame) -> DataFrame:
-    """(source, path, content) of the pack files that have replacements(source, path, ordinal, start, end, syntax, pointer, format, replacement)."""
+    """(source, path, content) of the pack files that have replacements(source, path, ordinal, start, end, syntax, pointer, format, replacement).
+
+    A file that can't be read, or whose spans overlap, gives no row.
+    """
     items = F.sort_array(F.collect_list(F.struct("ordinal", "start", "end", "syntax", "pointer", "format", "replacement"))).alias("items")
     joined = packs.join(replacements.groupBy("source", "path").agg(items), ["source", "path"])
 
-    def run(path: str, content: bytes, rows) -> bytes:
-        raw = bytes(content)
+    def fill(path: str, raw: bytes, rows) -> bytes:
         if path.endswith(".mcfunction"):
             return backfill.spans_file(raw.decode("utf-8"), [(int(r["start"]), int(r["end"]) + 1, r["replacement"], r["syntax"]) for r in rows]).encode("utf-8")
         new = [(r["pointer"], r["format"], r["replacement"]) for r in rows]
@@ -229,7 +355,52 @@ def filled_packs(packs: DataFrame, replacements: DataFrame) -> DataFrame:
             return njson.write(backfill.fill(njson.parse(raw.decode("utf-8"), njson.FILE), new, "json_obj")).encode("utf-8")
         return nbt.write_gzip(backfill.fill(nbt.read_gzip(raw), new, "nbt_obj"))
 
-    return joined.select("source", "path", scalar(run, "binary", "path", "content", "items").alias("content"))
+    return _rewritten(joined, fill, "items")
+
+
+def _rewritten(joined: DataFrame, fill: Callable, items: str) -> DataFrame:
+    def run(path: str, content: bytes, rows) -> bytes | None:
+        try:
+            return fill(path, bytes(content), rows)
+        except ValueError:
+            return None
+
+    return joined.select("source", "path", scalar(run, "binary", "path", "content", items).alias("content")).where("content IS NOT NULL")
+
+
+def _rewritten_packs(packs: DataFrame, items: DataFrame, picker: Callable, patterns: Patterns | None) -> DataFrame:
+    catalog = patterns or builtin()
+
+    def fill(path: str, raw: bytes, rows) -> bytes | None:
+        pick = picker(rows)
+        if path.endswith(".mcfunction"):
+            text = raw.decode("utf-8")
+            new = backfill.replaced_commands(text, extract.command_texts(text, catalog), pick)
+            return None if new is None else new.encode("utf-8")
+        if path.endswith(".json"):
+            text = raw.decode("utf-8")
+            tree = backfill.replaced_tree(njson.parse(text, njson.FILE), extract.json_texts(text, catalog), pick, "json_obj")
+            return None if tree is None else njson.write(tree).encode("utf-8")
+        tree = nbt.read_gzip(raw)
+        tree = backfill.replaced_tree(tree, extract.nbt_texts(tree, catalog), pick, "nbt_obj")
+        return None if tree is None else nbt.write_gzip(tree)
+
+    return _rewritten(packs.join(items, ["source", "path"]), fill, "items")
+
+
+def translated_packs(packs: DataFrame, texts: DataFrame, mapping: DataFrame, patterns: Patterns | None = None) -> DataFrame:
+    """(source, path, content) of the pack files with ``texts(source, path, content, ...)`` of them replaced by mapping(source, target).
+
+    Spans of functions; texts, commands and nested structures of JSON and NBT. A file in which nothing changes, or that can't be read, gives no row.
+    """
+    items = _pairs(texts.withColumnRenamed("source", "pack"), mapping, "pack", "path").withColumnRenamed("pack", "source")
+    return _rewritten_packs(packs, items, lambda rows: backfill.by_mapping({r["source"]: r["target"] for r in rows}), patterns)
+
+
+def replaced_packs(packs: DataFrame, replacements: DataFrame, patterns: Patterns | None = None) -> DataFrame:
+    """(source, path, content) of the pack files with replacements(source, path, ordinal, replacement): ordinals count a file's texts as pack_texts does."""
+    items = replacements.where("replacement IS NOT NULL").groupBy("source", "path").agg(F.collect_list(F.struct("ordinal", "replacement")).alias("items"))
+    return _rewritten_packs(packs, items, lambda rows: backfill.by_ordinal({int(r["ordinal"]): r["replacement"] for r in rows}), patterns)
 
 
 def filled_archives(archives: DataFrame, filled: DataFrame) -> DataFrame:
@@ -249,19 +420,21 @@ def filled_archives(archives: DataFrame, filled: DataFrame) -> DataFrame:
 
 
 def write_files(rows: DataFrame, root: str) -> int:
-    """Write (path, content) rows below a folder that all executors share; the number of files. Rewriting a file is safe to repeat."""
-    from pathlib import Path
+    """Write (path, content) rows below a folder that all executors reach by Arrow's file systems; the number of files. Rewriting a file is safe to repeat."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                to = Path(root, path)
-                if not to.resolve().is_relative_to(Path(root).resolve()):
+                if posixpath.normpath(path) != path or path.startswith(("/", "../")) or path == "..":
                     raise ValueError(f"{path} leads out of the folder")
-                to.parent.mkdir(parents=True, exist_ok=True)
-                temporary = to.with_name(to.name + "._tmp")
-                temporary.write_bytes(bytes(content))
-                temporary.replace(to)
+                to = f"{base.rstrip('/')}/{path}"
+                store.create_dir(posixpath.dirname(to), recursive=True)
+                with store.open_output_stream(to + "._tmp") as out:
+                    out.write(bytes(content))
+                store.move(to + "._tmp", to)
             yield part[["path"]]
 
     return rows.select("path", "content").mapInPandas(run, "path string").count()

@@ -10,21 +10,21 @@ from glyphmill.plans import catalog
 from glyphmill.plans.patterns import CommandPattern, Condition, PointerPattern, RegexPattern, first_match, json_schema
 
 BUILTIN = catalog.builtin()
-TEXT = """tellraw @a [{"storage":"global","nbt":"Prefix"},{"text":"far"}]
+TEXT = """tellraw @p [{"selector":"@s"},{"text":"door"}]
 
-# ignore "this"
-tellraw @s {"text":"compact","extra":[{"text":"text"}]}
-complex "item_id_001" b{strength:50b, durability:100s}
+# a comment with say "nothing"
+tellraw @p {"text":"gate","extra":[{"text":"key"}]}
+custom "stone brick" c{hard:3b, light:0s}
 
-tell @a "\\"Name\\": {\\"text\\": \\"A text\\"} 🫧"
+tell @p "\\"Quote\\": {\\"text\\": \\"in it\\"} 🜂"
 
-\\\\ invalid char
+\\\\ not a command
 
-say a greedy string
+say all that follows
 
-execute as @p run say two words 99
+execute at @a run say three words 7
 
-$say $(s) No any one"""
+$say $(who) and others"""
 
 
 def hits(text):
@@ -33,9 +33,9 @@ def hits(text):
 
 def test_command_lines():
     found = commands.parse_commands(TEXT)
-    assert [c.name for c in found] == ["tellraw", "tellraw", "complex", "tell", "say", "execute", "say"]
+    assert [c.name for c in found] == ["tellraw", "tellraw", "custom", "tell", "say", "execute", "say"]
     assert found[-1].macro and not found[0].macro
-    assert [a.content for a in found[2].args] == ['"item_id_001"', "b{strength:50b, durability:100s}"]
+    assert [a.content for a in found[2].args] == ['"stone brick"', "c{hard:3b, light:0s}"]
     assert [c.name for c in commands.parse_commands("say a\r\nsay b\rsay c\n\tsay d\n")] == ["say"] * 3
     assert commands.parse_line("c a  b").args[1].content == ""
     assert commands.parse_line("c {[}]") is None and commands.parse_line("c {a").args[0].content == "{a"
@@ -44,8 +44,8 @@ def test_command_lines():
 def test_backfill_of_all_spans():
     spans = [(s.start, s.end, "{X}", None) for s in extract.command_texts(TEXT, BUILTIN)]
     assert backfill.spans_file(TEXT, spans).split("\n") == [
-        "tellraw @a {X}", "", '# ignore "this"', "tellraw @s {X}", 'complex "item_id_001" b{strength:50b, durability:100s}', "", "tell @a {X}", "", "\\\\ invalid char", "",
-        "say {X}", "", "execute as @p run say {X}", "", "$say {X}",
+        "tellraw @p {X}", "", '# a comment with say "nothing"', "tellraw @p {X}", 'custom "stone brick" c{hard:3b, light:0s}', "", "tell @p {X}", "", "\\\\ not a command", "",
+        "say {X}", "", "execute at @a run say {X}", "", "$say {X}",
     ]
 
 
@@ -101,7 +101,8 @@ def test_pattern_json():
     p = CommandPattern.from_json(raw)
     assert p.to_json() == raw
     own = BUILTIN.with_custom(command=[p])
-    assert [s.content for s in extract.command_texts("data xa {text:t}", own)] == ["{text:t}"] or True
+    assert [s.content for s in extract.command_texts("data xa {odd:t,CustomName:n}", own)] == ["n"]
+    assert extract.command_texts("data xc {CustomName:n}", own) == []
     assert PointerPattern.from_json({"type": "right", "right": ">#x", "negative": True}).matches(">#y")
     assert all('"$defs"' in json_schema(x) for x in ("command", "data_pointer", "command_regex"))
     assert not Condition("none", (Condition("any"),)).holds(commands.parse_line("c x"))
@@ -175,7 +176,7 @@ def test_structure_inside_json():
     assert (found.pointer, found.kind) == (">#pools>0>#entries>0>#functions>0>#tag", "structure")
     assert [(f.pointer, f.format) for f in found.inner] == [(">#display>#Name", "snbt_str"), (">#display>#Lore", "nbt_obj")]
     assert found.inner[1].content == r'["{\"text\":\"Wayfinder\"}","{\"text\":\"Old\"}"]'
-    new = backfill.replace_found(found, {f.content: f.content.replace("Wayfinder", "Seeker") for f in found.inner})
+    new = backfill.replace_found(found, lambda text: text.replace("Wayfinder", "Seeker"))
     out = njson.write(backfill.fill(njson.parse(LOOT), [(found.pointer, "snbt_str", new)], "json_obj"))
     assert r'''{display:{Name:\"{\\\"text\\\":\\\"Seeker\\\",\\\"italic\\\":false}\",Lore:[\"{\\\"text\\\":\\\"Seeker\\\"}\",\"{\\\"text\\\":\\\"Old\\\"}\"]},HideFlags:1,Enchantments:[{id:\"minecraft:unbreaking\",lvl:1s}]}''' in out
 
@@ -183,7 +184,7 @@ def test_structure_inside_json():
 def test_command_inside_nbt():
     (found,) = extract.nbt_texts({"": {"tag": {"Command": "say Hello"}}}, BUILTIN)
     assert (found.pointer, found.slices[0].content) == (">#>#tag>#Command", "Hello")
-    assert backfill.replace_found(found, {}) == "say Hello" and backfill.replace_found(found, {"Hello": "Hi"}) == "say Hi"
+    assert backfill.replace_found(found, {}.get) == "say Hello" and backfill.replace_found(found, {"Hello": "Hi"}.get) == "say Hi"
 
 
 def test_tree_backfill():
@@ -220,7 +221,10 @@ def test_nbt_and_regions():
     assert [c.time for c in anvil.read(anvil.write(chunks, 9))] == [9, 9, 9]
     broken = bytearray(file)
     broken[3 * 4096 + 4] = 4  # an unknown compression
-    assert [c.index for c in anvil.read(bytes(broken))] == [0, 1023]
+    kept = anvil.read(bytes(broken))
+    assert [(c.index, c.kind) for c in kept] == [(0, 1), (7, 4), (1023, 3)] and anvil.write(kept) == bytes(broken)
+    with pytest.raises(anvil.RegionError):
+        kept[1].tree()
     with pytest.raises(anvil.RegionError):
         anvil.read(b"x" * 100)
 

@@ -66,6 +66,52 @@ def test_build(spark, root, tmp_path):
         assert json.loads(z.read("data/t.json")) == {"display": {"title": "Bonjour", "n": 1}} and z.read("keep.bin") == b"\x00\x01"
 
 
+def test_build_keeps_commands_structures_and_chunks_of_any_kind(spark, tmp_path):
+    base, target = tmp_path / "w", str(tmp_path / "out")
+    (base / "region").mkdir(parents=True)
+    (base / "datapacks" / "p").mkdir(parents=True)
+    (base / "level.dat").write_bytes(nbt.write_gzip({"Data": {"DataVersion": Num("int", 3000)}}))
+    tree = {"block_entities": [{"id": "command_block", "Command": 'execute run tellraw @e[name="Bob"] {"text":"Hello"}'}, {"id": "b", "Command": "say Hello"}, {"id": "c", "Command": "say Keep"}]}
+    chunks = [anvil.Chunk(0, anvil.ZLIB, b"", 3).replaced(tree), anvil.Chunk(1, 4, b"LZ4 bytes", 4), anvil.Chunk(2, 130, b"", 5), anvil.Chunk(3, anvil.GZIP, b"broken", 6)]
+    (base / "region" / "r.0.0.mca").write_bytes(anvil.write(chunks))
+    bad = (b"\0\0\2\1".ljust(8192, b"\0") + b"\x7f\xff\xff\xff").ljust(12288, b"\0")  # one chunk, larger than its sectors
+    (base / "region" / "r.0.1.mca").write_bytes(bad)
+    loot = {"functions": [{"function": "minecraft:set_nbt", "tag": "{display:{Name:'Hello'},x:1s}"}]}
+    (base / "datapacks" / "p" / "t.json").write_text(json.dumps(loot))
+    (base / "datapacks" / "p" / "f.mcfunction").write_text("give @s minecraft:stick[item_name='Hello']\n# say Hello\n")
+    nested = {"": {"tag": {"Command": "say Hello"}}}
+    (base / "datapacks" / "p" / "n.nbt").write_bytes(nbt.write_gzip(nested))
+    mapping = spark.createDataFrame([('{"text":"Hello"}', '{"text":"Salut"}'), ("Hello", "Bonjour"), ("Bob", "Bill")], "source string, target string")
+    assert Project(str(base)).build(spark, mapping, target) == 4
+    new = anvil.read((tmp_path / "out" / "region" / "r.0.0.mca").read_bytes())
+    assert [(c.index, c.kind, c.data, c.time) for c in new[1:]] == [(1, 4, b"LZ4 bytes", 4), (2, 130, b"", 5), (3, anvil.GZIP, b"broken", 6)]
+    assert [b["Command"] for b in new[0].tree()["block_entities"]] == ['execute run tellraw @e[name="Bill"] {"text":"Salut"}', "say Bonjour", "say Keep"]
+    assert (tmp_path / "out" / "region" / "r.0.1.mca").read_bytes() == bad
+    assert json.loads((tmp_path / "out" / "datapacks" / "p" / "t.json").read_text())["functions"][0]["tag"] == '{display:{Name:"Bonjour"},x:1s}'
+    assert (tmp_path / "out" / "datapacks" / "p" / "f.mcfunction").read_text() == "give @s minecraft:stick[item_name=\"Bonjour\"]\n# say Hello\n"
+    assert nbt.read_gzip((tmp_path / "out" / "datapacks" / "p" / "n.nbt").read_bytes()) == {"": {"tag": {"Command": "say Bonjour"}}}
+    rows = world.region_chunks(world.regions(spark, str(base))).collect()
+    assert sorted((r.chunk_index is None, r.chunk_index or 0, r.error is None) for r in rows) == [(False, 0, True), (False, 1, False), (False, 2, False), (False, 3, False), (True, 0, False)]
+    assert {r.path: r.dump is None for r in world.region_dump(world.regions(spark, str(base))).collect()} == {"region/r.0.0.mca": False, "region/r.0.1.mca": True}
+    assert world.typed_chunks(world.regions(spark, str(base)), "terrain").count() == 1
+
+
+def test_replacements_by_ordinal(spark, root):
+    regions, packs = world.regions(spark, root), world.pack_files(spark, root)
+    rows = world.region_texts(regions).selectExpr("path", "chunk_index", "ordinal", "concat(content, chunk_index) AS replacement")
+    new = world.replaced_regions(regions, rows).withColumn("k", world.F.lit(1))
+    assert sorted(r.content for r in world.region_texts(new).collect()) == ["Hello0", "Hello9", "Other5"]
+    rows = world.pack_texts(packs).where("error IS NULL").selectExpr("source", "path", "ordinal", "CASE WHEN ordinal = 1 THEN concat(content, 2) END AS replacement")
+    (new,) = world.replaced_packs(packs, rows).collect()
+    assert bytes(new.content) == b'say Hello\nkill @e[name="Hello2"]\n'
+
+
+def test_files_leading_out_are_refused(spark, tmp_path):
+    for path in ("../x", "/x", "a/../../x"):
+        with pytest.raises(Exception, match="leads out"):
+            world.write_files(spark.createDataFrame([(path, bytearray(b"x"))], "path string, content binary"), str(tmp_path / "o"))
+
+
 def test_translation_of_what_is_missing(spark, root):
     def model(text):
         from glyphmill.operators.translation import END, START, TERMS, TRANSLATED
