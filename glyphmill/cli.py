@@ -36,6 +36,22 @@ def _pattern_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--pattern-mode", choices=["append", "replace"], default="append")
 
 
+def _model_options(p: argparse.ArgumentParser, required: bool = True) -> None:
+    p.add_argument("--model", required=required, help="module:function that answers a message")
+    p.add_argument("--budget", type=int, default=2048)
+    p.add_argument("--retries", type=int, default=20)
+    p.add_argument("--source", default="en_us")
+    p.add_argument("--target", default="zh_cn")
+    p.add_argument("--style", default="")
+    p.add_argument("--about", default="")
+
+
+def _settings(args, terms: dict[str, str]):
+    from glyphmill.operators.model import Settings
+
+    return Settings(args.model or "", source=args.source, target=args.target, style=args.style, about=args.about, budget=args.budget, retries=args.retries, terms=terms)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="glyphmill", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -54,6 +70,36 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("output")
     x.add_argument("--kind", choices=["region", "datapack"], required=True)
     x.add_argument("--simply", action="store_true")
+    for what in ("region", "datapack"):
+        x = sub.add_parser(f"{what}-backfill", help=f"a copy of a world with the texts of {what} replacement groups in it")
+        for name in ("world", "groups", "output"):
+            x.add_argument(name)
+        _pattern_options(x)
+    x = sub.add_parser("unpool", help="replacement groups: extraction groups with the texts of a mapping (JSON object)")
+    for name in ("groups", "mapping", "output"):
+        x.add_argument(name)
+    x.add_argument("--kind", choices=["region", "datapack"], required=True)
+    x = sub.add_parser("replace-all", help="replacement groups with one text for all")
+    for name in ("groups", "output"):
+        x.add_argument(name)
+    x.add_argument("--text", default='"TEXT"')
+    x.add_argument("--kind", choices=["region", "datapack"], required=True)
+    for what, about in (("translate", "a pool (JSON lines of text, format) through a model, chunk after chunk"), ("terms", "the terms that a model names for a pool")):
+        x = sub.add_parser(what, help=about)
+        for name in ("pool", "output"):
+            x.add_argument(name)
+        x.add_argument("--terms", help="a JSON object of terms")
+        _model_options(x)
+    x = sub.add_parser("languages", help="download a version's language files")
+    x.add_argument("output")
+    x.add_argument("names", nargs="*")
+    x.add_argument("--version", default="latest")
+    x = sub.add_parser("project", help="a translation project in a folder")
+    x.add_argument("step", choices=["init", "update", "terms", "translate", "build"])
+    x.add_argument("folder")
+    x.add_argument("--world", help="for init")
+    x.add_argument("--output", help="for build")
+    _model_options(x, False)
     x = sub.add_parser("rules-translate", help="a pool (JSON array) through a rule book")
     for name in ("pool", "rules", "output"):
         x.add_argument(name)
@@ -98,6 +144,53 @@ def main(argv: list[str] | None = None) -> int:
 
         leaves = interchange.from_groups(interchange.read_groups(_spark(), args.groups, args.kind), args.kind)
         pool.text_pool(pool.simplified(leaves) if args.simply else leaves).write.mode("overwrite").json(args.output)
+    elif args.command in ("region-backfill", "datapack-backfill"):
+        from glyphmill.operators import interchange
+        from glyphmill.plans.project import Project
+
+        kind, spark = args.command.split("-")[0], _spark()
+        rows = interchange.from_groups(interchange.read_groups(spark, args.groups, kind), kind)
+        print(Project(args.world, _patterns(args)).replaced(spark, rows, kind, args.output), "files rewritten")
+    elif args.command in ("unpool", "replace-all"):
+        from glyphmill.operators import interchange
+
+        spark = _spark()
+        groups = interchange.read_groups(spark, args.groups, args.kind)
+        if args.command == "unpool":
+            mapping = spark.createDataFrame(list(read(args.mapping).items()), "source string, target string")
+            interchange.write_groups(interchange.unpooled(groups, mapping, args.kind), args.output)
+        else:
+            interchange.write_groups(interchange.replaced_by(groups, args.text, args.kind), args.output)
+    elif args.command in ("translate", "terms"):
+        from glyphmill.operators import model, translation
+
+        given = read(args.terms) if args.terms else {}
+        pool, own = _spark().read.schema("format string, text string").json(args.pool).fillna("plain_str", ["format"]), _settings(args, given)
+        if args.command == "terms":
+            translation.terms_of(pool, model.named(args.model), given, args.budget, own).write.mode("overwrite").json(args.output)
+        else:
+            translation.translate_to(pool, model.named(args.model), args.output, own)
+    elif args.command == "languages":
+        from glyphmill.sources.languages import language_files
+
+        Path(args.output).mkdir(parents=True, exist_ok=True)
+        for name, texts in language_files(args.version, args.names or None):
+            Path(args.output, f"{name}.json").write_text(json.dumps(texts, ensure_ascii=False), encoding="utf-8")
+    elif args.command == "project":
+        from glyphmill.operators import model
+        from glyphmill.plans.project import Project
+
+        if args.step == "init":
+            Project(args.world).write(args.folder)
+            return 0
+        spark, own = _spark(), Project.read(str(Path(args.folder, "project.toml")))
+        if args.step == "build":
+            print(own.build_from(spark, args.folder, args.output), "files rewritten")
+        elif args.step == "update":
+            print(own.update(spark, args.folder), "texts to translate")
+        else:
+            step = own.learn_terms if args.step == "terms" else own.translate_missing
+            print(step(spark, args.folder, model.named(args.model), _settings(args, own.terms)), "texts" if args.step == "translate" else "terms")
     elif args.command in ("rules-translate", "rules-template"):
         from glyphmill.operators.translation import by_rules
         from glyphmill.parse import rules

@@ -121,6 +121,17 @@ def sector_count(size: Column) -> Column:
     return F.when(n > 255, F.raise_error(F.lit("too large a chunk"))).otherwise(n)
 
 
+def chunk_place(entry: Column) -> tuple[Column, Column]:
+    """First sector and number of sectors of a region header's 32-bit entry."""
+    return F.shiftrightunsigned(entry, 8), entry.bitwiseAND(255)
+
+
+def necessary_sectors(entry: Column) -> Column:
+    """Aggregate: the sectors that a region file with these header entries needs, the two of the header at least."""
+    first, count = chunk_place(entry)
+    return F.greatest(F.lit(2), F.max(F.when(entry != 0, first + count))).cast("long")
+
+
 def pointer_key(c: Column) -> Column:
     """A map key as a step of a pointer."""
     return F.concat(F.lit(">#"), F.replace(c, F.lit(">"), F.lit("&>")))
@@ -135,6 +146,26 @@ def ranges_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(s1, s2) <= F.least(e1, e2)
 
 
+def normal_path(path: Column) -> Column:
+    """A relative path without empty and '.' steps, each '..' taking back the step before; one that leads out is null."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("steps"), F.lit(True).alias("inside"))
+
+    def go(state: Column, step: Column) -> Column:
+        steps, inside = state["steps"], state["inside"]
+        up = F.struct(F.when(F.size(steps) > 0, F.slice(steps, 1, F.size(steps) - 1)).otherwise(steps).alias("steps"), (inside & (F.size(steps) > 0)).alias("inside"))
+        on = F.struct(F.concat(steps, F.array(step)).alias("steps"), inside.alias("inside"))
+        return F.when(step.isin("", "."), state).when(step == "..", up).otherwise(on)
+
+    return F.aggregate(F.split(path, "/"), start, go, lambda s: F.when(s["inside"], F.array_join(s["steps"], "/")))
+
+
+def code_point(c: Column) -> Column:
+    """The character of a code point; null where there is none."""
+    valid = c.between(0, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, c).otherwise(0).cast("long")), 8, "0")), "UTF-32"))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

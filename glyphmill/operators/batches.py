@@ -42,6 +42,11 @@ def chunk_totals(chunks: DataFrame, group: str) -> DataFrame:
     return chunks.groupBy(group, "chunk").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
 
 
+def usage(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """Texts and their estimated tokens by the key columns; null texts have none."""
+    return texts.groupBy(*keys).agg(F.count("*").alias("texts"), F.coalesce(F.sum(token_estimate(F.col(text)).cast("long")), F.lit(0)).alias("tokens"))
+
+
 def applicable_terms(texts: DataFrame, terms: list[str], key: str, text: str = "text") -> DataFrame:
     """(key, term): the terms that a text contains, whatever the case. One pass over a text finds all terms.
 

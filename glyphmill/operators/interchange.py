@@ -17,6 +17,7 @@ EXTRACTION = T.StructType(
         T.StructField("format", T.StringType()),
         T.StructField("syntax", T.StringType()),
         T.StructField("content", T.StringType()),
+        T.StructField("replacement", T.StringType()),
     ]
 )
 REGION_GROUP = T.StructType([T.StructField("type", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("x", T.IntegerType()), T.StructField("z", T.IntegerType()), T.StructField("extractions", T.ArrayType(EXTRACTION))])
@@ -46,3 +47,41 @@ def read_groups(spark, path: str, kind: str) -> DataFrame:
     """Unknown fields are ignored, comments allowed."""
     schema = REGION_GROUP if kind == "region" else PACK_GROUP
     return spark.read.schema(schema).option("allowComments", "true").json(path)
+
+
+def parsed_groups(frame: DataFrame, text: str, kind: str) -> DataFrame:
+    """Groups of a column of JSON texts (one group or an array of them) with comments and trailing commas; unknown fields are ignored.
+
+    A text that doesn't parse gives no group.
+    """
+    from glyphmill.functions.udfs import scalar
+    from glyphmill.parse import njson
+
+    def plain(value: str) -> str | None:
+        try:
+            tree = njson.parse(value, njson.FILE)
+        except njson.JsonError:
+            return None
+        return njson.write(tree if isinstance(tree, list) else [tree])
+
+    schema = T.ArrayType(REGION_GROUP if kind == "region" else PACK_GROUP)
+    return frame.select(F.explode(F.from_json(scalar(plain, "string", text), schema)).alias("g")).select("g.*")
+
+
+def by_type(groups: DataFrame, *types: str) -> dict[str, DataFrame]:
+    """The rows of each type."""
+    return {t: groups.where(F.col("type") == t) for t in types}
+
+
+def unpooled(groups: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
+    """Replacement groups: the groups' texts that mapping(source, target) has a target for, with it."""
+    from glyphmill.operators.mapping import lookup
+
+    return to_groups(lookup(from_groups(groups, kind).drop("replacement"), mapping), kind)
+
+
+def replaced_by(groups: DataFrame, text: str, kind: str) -> DataFrame:
+    """Replacement groups with one text for all."""
+    from glyphmill.operators.mapping import replace_all
+
+    return to_groups(replace_all(from_groups(groups, kind), text), kind)

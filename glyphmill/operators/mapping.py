@@ -51,3 +51,8 @@ def overlapping(spans: DataFrame, *keys: str) -> DataFrame:
     """Spans (start, end; closed) that begin before the one before them in their file ends."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
     return spans.withColumn("_before", F.lag("end").over(w)).where(F.col("start") <= F.col("_before")).drop("_before")
+
+
+def in_display_order(spans: DataFrame, *keys: str) -> DataFrame:
+    """Spans with ``place``: their number by start, then end, in their file."""
+    return spans.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end")))

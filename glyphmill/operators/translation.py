@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from glyphmill.functions.text import NEWLINE
 from glyphmill.functions.udfs import escape_special, exploded, scalar, unescape_special
 from glyphmill.operators.batches import greedy_chunks
+from glyphmill.operators.model import RETRIES, Model, Settings, chat, prompted, terms_prompt, translation_prompt
 from glyphmill.parse import component, rules
 
-# The marks of the wire protocol.
+# This project's own marks of the messages to and from a model.
 START, TRANSLATED, TERMS, END = (f"-- BATCH:{x} --" for x in ("START", "TRANSLATED", "TERMS", "END"))
-RETRIES = 20
 _RESPONSE = re.compile(rf"{TRANSLATED}(.*?){TERMS}(.*?){END}", re.S)
 _LINE = re.compile(r"\s*\[(\d+)\] ?(.*)")
 
@@ -94,26 +94,21 @@ def validate(text: str, fmt: str) -> bool:
     return True
 
 
-def translate_chunk(texts: list[str], fmt: str, terms: dict[str, str], model: Callable[[str], str]) -> tuple[list[tuple[str, str | None, str]], dict[str, str]]:
+def translate_chunk(texts: list[str], fmt: str, terms: dict[str, str], model: Model, retries: int = RETRIES) -> tuple[list[tuple[str, str | None, str]], dict[str, str]]:
     """((text, target, status) of each, new terms) of one chunk; no call if there is nothing to translate.
 
-    Asks again, up to RETRIES times, where the answer is malformed or a whole component isn't one.
+    Asks again, up to ``retries`` times, where a call fails, the answer is malformed or a whole component isn't one.
     """
     strips = [component.strip(escape_special(t), fmt) for t in texts]
     asked = [i for i, s in enumerate(strips) if s[0] != "untranslatable"]
-    answers: list[str | None] = []
-    learnt: dict[str, str] = {}
-    for attempt in range(RETRIES if asked else 0):
-        try:
-            answers, learnt = parse_response(model(message([strips[i][1] for i in asked], terms)), len(asked))
-            bad = [i for i, a in zip(asked, answers, strict=True) if a and strips[i][0] == "cannot_strip" and not validate(a, fmt)]
-            if bad:
-                raise ResponseError("an answer isn't a component")
-            break
-        except ResponseError:
-            answers = [None] * len(asked)
-            if attempt == RETRIES - 1:
-                raise
+
+    def read(answer: str) -> tuple[list[str | None], dict[str, str]]:
+        answers, learnt = parse_response(answer, len(asked))
+        if any(a and strips[i][0] == "cannot_strip" and not validate(a, fmt) for i, a in zip(asked, answers, strict=True)):
+            raise ResponseError("an answer isn't a component")
+        return answers, learnt
+
+    answers, learnt = chat(model, message([strips[i][1] for i in asked], terms), read, retries) if asked else ([], {})
     got = dict(zip(asked, answers, strict=True))
     out = []
     for i, (text, s) in enumerate(zip(texts, strips, strict=True)):
@@ -125,7 +120,7 @@ def translate_chunk(texts: list[str], fmt: str, terms: dict[str, str], model: Ca
     return out, learnt
 
 
-def translate(pool: DataFrame, model: Callable[[str], str], terms: dict[str, str] | None = None, budget: int = 2048) -> DataFrame:
+def translate(pool: DataFrame, model: Model, terms: dict[str, str] | None = None, budget: int = 2048, retries: int = RETRIES) -> DataFrame:
     """(format, source, target, status) of a pool(format, text): chunks by budget, each sent to the model as one message.
 
     Terms are frozen, so chunks run in parallel; :func:`translate_in_turn` passes on learnt terms.
@@ -138,7 +133,7 @@ def translate(pool: DataFrame, model: Callable[[str], str], terms: dict[str, str
         at = None
 
         def send():
-            rows, _ = translate_chunk([t for _, t in held], at[0], fixed, model)
+            rows, _ = translate_chunk([t for _, t in held], at[0], fixed, model, retries)
             return pd.DataFrame([(at[0], *r) for r in rows], columns=["format", "source", "target", "status"])
 
         for part in groups:
@@ -154,29 +149,116 @@ def translate(pool: DataFrame, model: Callable[[str], str], terms: dict[str, str
     return chunks.mapInPandas(run, "format string, source string, target string, status string")
 
 
-def translate_in_turn(chunks: list[tuple[str, list[str]]], model: Callable[[str], str], terms: dict[str, str]) -> Iterator[tuple[list[tuple[str, str | None, str]], dict[str, str]]]:
+def translate_in_turn(chunks: Iterable[tuple[str, list[str]]], model: Model, terms: dict[str, str], retries: int = RETRIES) -> Iterator[tuple[list[tuple[str, str | None, str]], dict[str, str]]]:
     """Results of chunks (format, texts) one after the other; terms that one teaches apply to the next. What came out stays valid if a later one fails."""
     known = dict(terms)
     for fmt, texts in chunks:
-        rows, learnt = translate_chunk(texts, fmt, known, model)
+        rows, learnt = translate_chunk(texts, fmt, known, model, retries)
         known |= learnt
         yield rows, dict(known)
 
 
+def translate_to(pool: DataFrame, model: Model, path: str, settings: Settings | None = None) -> dict[str, str]:
+    """Translate a pool(format, text) into a table at ``path``, chunk after chunk, and give the terms known in the end.
+
+    Each chunk's results are appended before the next is asked for, so a run that fails keeps what is done;
+    a run begun again leaves out what the table has. Chunks come to the driver one at a time.
+    """
+    settings, spark = settings or Settings(), pool.sparkSession
+    schema = "format string, source string, target string, status string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    done = spark.read.schema(schema).parquet(path).where("status <> 'untranslated'")
+    rest = pool.select("format", "text").join(done.select("format", F.col("source").alias("text")), ["format", "text"], "left_anti")
+    rest = rest.distinct().persist()
+    asked = prompted(model, translation_prompt(settings, (START, TRANSLATED, TERMS, END)))
+
+    def chunks() -> Iterator[tuple[str, list[str]]]:
+        at, held = None, []
+        for r in greedy_chunks(rest, "format", "text", budget=settings.budget).orderBy("format", "chunk", "text").toLocalIterator():
+            if held and (r.format, r.chunk) != at:
+                yield at[0], held
+                held = []
+            at = (r.format, r.chunk)
+            held.append(r.text)
+        if held:
+            yield at[0], held
+
+    known = dict(settings.terms)
+    try:
+        both = zip_kept(chunks(), lambda part: translate_in_turn(part, asked, dict(settings.terms), settings.retries))
+        for (fmt, _), (rows, known) in both:
+            spark.createDataFrame([(fmt, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(path)
+    finally:
+        rest.unpersist()
+    return known
+
+
+def zip_kept(items: Iterable, function: Callable[[Iterable], Iterable]) -> Iterator[tuple]:
+    """Each item with what ``function``, which goes through the items one by one, gives for it."""
+    held: list = []
+
+    def tap():
+        for x in items:
+            held.append(x)
+            yield x
+
+    for result in function(tap()):
+        yield held.pop(0), result
+
+
 def exported(results: DataFrame) -> DataFrame:
     """A mapping of results: translated texts, and untranslatable ones with a null target; untranslated ones are left out."""
     return results.where("status <> 'untranslated'").select("source", "target")
 
 
-def extract_terms(texts: list[list[str]], model: Callable[[str], str], defaults: dict[str, str] | None = None) -> dict[str, str]:
+def named_terms(text: str, model: Model, retries: int = RETRIES) -> dict[str, str]:
+    """The terms that a model names for a text; blank ones don't count."""
+
+    def read(answer: str) -> dict[str, str]:
+        found = json.loads(answer)
+        if not isinstance(found, dict):
+            raise ResponseError("terms aren't an object")
+        return {k: v for k, v in found.items() if k.strip() and isinstance(v, str) and v.strip()}
+
+    return chat(model, text, read, retries)
+
+
+def extract_terms(texts: list[list[str]], model: Model, defaults: dict[str, str] | None = None) -> dict[str, str]:
     """Terms that a model names for chunks of texts, one JSON object each, over the defaults."""
     out = dict(defaults or {})
     for chunk in texts:
-        found = json.loads(model("\n".join(chunk)))
-        out |= {k: v for k, v in found.items() if k.strip() and isinstance(v, str) and v.strip()}
+        out |= named_terms("\n".join(chunk), model)
     return out
 
 
+def terms_of(pool: DataFrame, model: Model, defaults: dict[str, str] | None = None, budget: int = 2048, settings: Settings | None = None) -> DataFrame:
+    """(term, meaning) of a pool(text): chunks by budget go to the model in parallel, the last chunk that names a term wins, over the defaults."""
+    retries = settings.retries if settings else RETRIES
+    asked = prompted(model, terms_prompt(settings)) if settings else model
+    chunks = greedy_chunks(pool.select(F.lit("").alias("format"), "text"), "format", "text", budget=budget)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+
+        def send():
+            found = named_terms("\n".join(held), asked, retries)
+            return pd.DataFrame([(at, k, v) for k, v in found.items()], columns=["chunk", "term", "meaning"])
+
+        for part in parts:
+            for text, chunk in zip(part["text"], part["chunk"], strict=True):
+                if held and chunk != at:
+                    yield send()
+                    held = []
+                at = chunk
+                held.append(text)
+        if held:
+            yield send()
+
+    found = chunks.mapInPandas(run, "chunk long, term string, meaning string")
+    given = pool.sparkSession.createDataFrame([(-1, k, v) for k, v in (defaults or {}).items()], "chunk long, term string, meaning string")
+    return found.unionByName(given).groupBy("term").agg(F.max_by("meaning", "chunk").alias("meaning"))
+
+
 def by_rules(pool: DataFrame, book: rules.RuleBook) -> DataFrame:
     """(source, target) of a pool(text) by a rule book: the first rule of the text's shape, else its raw line; else a null target.
 

@@ -53,6 +53,21 @@ def read_json(text: str, dialect: njson.Dialect = njson.COMMAND) -> object:
         return njson.JsonError
 
 
+def _wrapped(text: str, quotes: str = "\"'") -> bool:
+    return len(text) > 1 and any(text[0] == a and text[-1] == b for a, b in (*((q, q) for q in quotes), "[]", "{}"))
+
+
+def is_snbt(text: str) -> bool:
+    """Whether a quoted or bracketed text is SNBT."""
+    return _wrapped(text) and read_snbt(text) is not None
+
+
+def is_json(text: str, dialect: njson.Dialect | None = None) -> bool:
+    """Whether a quoted or bracketed text is JSON of a dialect, the standard's if none is given."""
+    dialect = dialect or njson.Dialect()
+    return _wrapped(text, "\"'" if dialect.single_quote else '"') and read_json(text, dialect) is not njson.JsonError
+
+
 def infer_format(text: str) -> str:
     """snbt_str, json_str or plain_str: SNBT is tried first, and only components count."""
     if is_text(read_snbt(text)) and text.strip()[:1] in ('{', '[', '"', "'"):

@@ -195,3 +195,12 @@ def write(tree: object) -> str:
     if isinstance(tree, Num):
         return tree.raw if tree.raw is not None else json.dumps(tree.value)
     return json.dumps(tree, ensure_ascii=False)
+
+
+def pretty(tree: object, indent: int = 0) -> str:
+    """As write, with a line for each element and two spaces a level."""
+    if isinstance(tree, dict | list) and tree:
+        items = [f"{write(k)}: {pretty(v, indent + 1)}" for k, v in tree.items()] if isinstance(tree, dict) else [pretty(v, indent + 1) for v in tree]
+        step, (left, right) = "\n" + "  " * indent, "{}" if isinstance(tree, dict) else "[]"
+        return left + ",".join(f"{step}  {x}" for x in items) + step + right
+    return write(tree)

@@ -20,6 +20,7 @@ _ITEM = [_regex(rf">#components>#(minecraft:)?{x}(>#raw)?$") for x in ("custom_n
     _regex(r">#components>#(minecraft:)?writable_book_content>#pages(?:>\d+>#(?:raw|filtered))?$"),
 ]
 
+# Pointers in NBT of worlds.
 NBT = _ITEM + [
     _right(">#Command", COMMAND),
     _right(">#CustomName"),
@@ -38,6 +39,7 @@ NBT = _ITEM + [
     _right("#banners>#name"),
 ]
 
+# Pointers in JSON files of packs.
 MCJSON = _ITEM + [
     _right(">#display>#title"),
     _right(">#display>#description"),
@@ -58,6 +60,7 @@ MCJSON = _ITEM + [
     _right(">#description"),
 ]
 
+# Pointers in the data of commands.
 DATA = NBT + [
     PointerPattern("equal", ">#name"),
     _right(">#text"),
@@ -70,6 +73,7 @@ DATA = NBT + [
     _regex(r"^>#body>\d+>#description$"),
 ]
 
+# Item components that hold text.
 COMPONENTS: dict[str, PointerPattern | None] = {
     **dict.fromkeys(("custom_name", "item_name", "text_display", "description", "lore")),
     "written_book_content": _regex(r">#(?:text|author|pages)$"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as fx
 from glyphmill.functions.udfs import escape_special, exploded, scalar, unescape_special
 from glyphmill.operators import backfill, batches, extraction, mapping, pool, translation
-from glyphmill.parse import anvil, component, njson, nbt, pointer, rules, snbt
+from glyphmill.parse import anvil, component, njson, nbt, pointer, rules, snbt, textmodel
 from glyphmill.parse.tree import Num
 from glyphmill.plans import catalog
 from glyphmill.plans.patterns import Condition, PointerPattern, any_match, first_match_index
@@ -119,15 +119,16 @@ def overlap_detect(spark, sf):
     return mapping.overlapping(spans, "l_orderkey")
 
 
-_FROM = "SELECT concat('key.', p_partkey % 500) AS key, p_name AS value, p_partkey AS ord FROM part WHERE p_partkey < 500"
-_TO = "SELECT concat('key.', p_partkey) AS key, concat('to ', p_type, p_size) AS value, p_partkey AS ord FROM part WHERE p_partkey % 2 = 0"
+_FROM = "SELECT concat('key.', p_partkey) AS key, p_name AS value, p_partkey AS ord FROM part WHERE p_size <> 7"
+_TO = "SELECT concat('key.', p_partkey) AS key, concat('to ', p_type, p_size) AS value, p_partkey AS ord FROM part WHERE p_brand <> 'Brand#12'"
 
 
 @query(f"WITH f AS ({_FROM}), t AS ({_TO}), j AS (SELECT coalesce(f.value, t.key) AS source, t.value AS target, t.ord FROM t LEFT JOIN f ON f.key = t.key) SELECT source, arg_max(target, ord) AS target FROM j GROUP BY source")
 def lang_combine(spark, sf):
+    """Each language lacks the keys of some parts: those of one size, and those of one brand."""
     part = _t(spark, sf, "part")
-    source = part.where("p_partkey < 500").selectExpr("concat('key.', p_partkey % 500) AS key", "p_name AS value", "p_partkey AS ord")
-    target = part.where("p_partkey % 2 = 0").selectExpr("concat('key.', p_partkey) AS key", "concat('to ', p_type, p_size) AS value", "p_partkey AS ord")
+    source = part.where("p_size <> 7").selectExpr("concat('key.', p_partkey) AS key", "p_name AS value", "p_partkey AS ord")
+    target = part.where("p_brand <> 'Brand#12'").selectExpr("concat('key.', p_partkey) AS key", "concat('to ', p_type, p_size) AS value", "p_partkey AS ord")
     return mapping.language_pairs(source, target)
 
 
@@ -304,10 +305,11 @@ def cmd_execute_run(spark, sf):
     return _spans(spark, sf, "concat('execute as @e', p_size, ' at @s run say ', p_name)", "p_partkey")
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS is_macro, 'say' AS name, p_partkey % 3 + 5 - p_partkey % 3 AS fixed FROM part")
+@query("""SELECT p_partkey, p_partkey % 3 = 0 AS is_macro, 'say' AS name, CAST(CASE WHEN p_partkey % 3 = 2 THEN 6 ELSE 5 END AS INT) AS first, split_part(p_name, ' ', 1) AS argument FROM part""")
 def cmd_macro_slash(spark, sf):
+    """A macro's dollar, a slash or white space before the name: where the first argument then starts."""
     rows = _t(spark, sf, "part").selectExpr("p_partkey", "concat(CASE p_partkey % 3 WHEN 0 THEN '$' WHEN 1 THEN '/' ELSE '  ' END, 'say ', p_name) AS line")
-    return extraction.parsed_commands(rows, "line").select("p_partkey", "is_macro", "name", F.lit(5).cast("long").alias("fixed"))
+    return extraction.parsed_commands(rows, "line").select("p_partkey", "is_macro", "name", F.col("starts")[0].alias("first"), F.col("args")[0].alias("argument"))
 
 
 @query("SELECT p_partkey, 'tell' AS name FROM part WHERE p_partkey % 4 = 3")
@@ -368,9 +370,9 @@ def command_conditions(spark, sf):
 # --- SNBT, JSON, components -------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_size AS b, p_size * 100 AS s, p_partkey AS i, p_partkey * 10000000000 AS l, p_retailprice AS d, 'byte short int long double' AS kinds FROM part WHERE p_partkey > 0")
+@query("SELECT p_partkey, p_size AS b, p_size * 100 AS s, p_partkey AS i, p_partkey * 10000000000 AS l, p_retailprice AS d, 'byte short int long double' AS kinds FROM part")
 def snbt_numbers(spark, sf):
-    rows = _t(spark, sf, "part").where("p_partkey > 0").selectExpr("p_partkey", "concat('{b:', p_size, 'b, s:', p_size * 100, 'S,i:', p_partkey, ',l:', p_partkey * 10000000000, 'L,d:', p_retailprice, '}') AS t")
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "concat('{b:', p_size, 'b, s:', p_size * 100, 'S,i:', p_partkey, ',l:', p_partkey * 10000000000, 'L,d:', p_retailprice, '}') AS t")
 
     def run(text):
         tree = snbt.to_tree(snbt.parse(text))
@@ -429,11 +431,16 @@ def destrip_component(spark, sf):
     return translation.destripped(rows, "t", "f", "new").select("p_partkey", "target")
 
 
-@query("SELECT p_partkey, p_partkey % 4 IN (0, 1) AS is_component, p_partkey % 4 IN (0, 2) AS has_text FROM part")
+@query("SELECT p_partkey, p_partkey % 4 IN (0, 1) AS is_component, p_partkey % 4 IN (0, 1, 2) AS has_field, p_partkey % 4 IN (0, 1) AS has_text FROM part")
 def component_flags(spark, sf):
     rows = _t(spark, sf, "part").selectExpr("p_partkey", """CASE p_partkey % 4 WHEN 0 THEN concat('{"text":"', p_name, '"}') WHEN 1 THEN '{"translate":"a.b"}' WHEN 2 THEN concat('{"text":{"text":"', p_name, '"}}') ELSE concat('{"n":', p_size, '}') END AS t""")
     is_component = scalar(lambda x: component.is_component(component.read_json(x)), "boolean", "t")
-    return rows.select("p_partkey", is_component.alias("is_component"), fx.has_component_field(F.col("t")).alias("has_text")).withColumn("has_text", F.col("has_text") & (F.col("p_partkey") % 4 != 1))
+
+    def has_text(x: str) -> bool:
+        tree = component.read_json(x)
+        return component.is_component(tree) and textmodel.has_text(textmodel.read(tree))
+
+    return rows.select("p_partkey", is_component.alias("is_component"), fx.has_component_field(F.col("t")).alias("has_field"), scalar(has_text, "boolean", "t").alias("has_text"))
 
 
 # --- rules and the model's protocol -----------------------------------------------------------------
@@ -506,27 +513,28 @@ def region_coords(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS sector, CAST(l_quantity AS BIGINT) AS count FROM lineitem")
 def chunk_offset_decode(spark, sf):
+    """Header entries taken apart."""
     rows = _t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey * 256 + CAST(l_quantity AS BIGINT) AS entry")
-    return rows.selectExpr("l_orderkey", "l_linenumber", "shiftrightunsigned(entry, 8) AS sector", "entry & 255 AS count")
+    return rows.select("l_orderkey", "l_linenumber", *(c.alias(n) for c, n in zip(fx.chunk_place(F.col("entry")), ("sector", "count"), strict=True)))
 
 
 @query("SELECT l_orderkey, CAST(greatest(2, max(l_partkey + l_linenumber)) AS BIGINT) AS sectors, CAST(max((CAST(l_quantity AS BIGINT) * 1000 + 4095) // 4096) AS BIGINT) AS largest FROM lineitem GROUP BY l_orderkey")
 def necessary_sectors(spark, sf):
-    rows = _t(spark, sf, "lineitem")
-    return rows.groupBy("l_orderkey").agg(F.greatest(F.lit(2), F.max(F.expr("l_partkey + l_linenumber"))).cast("long").alias("sectors"), F.max(fx.sector_count(F.expr("CAST(l_quantity AS BIGINT) * 1000"))).alias("largest"))
+    """A region for each order: the sectors that its header of line items asks for."""
+    rows = _t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_partkey * 256 + l_linenumber AS entry", "CAST(l_quantity AS BIGINT) * 1000 AS size")
+    return rows.groupBy("l_orderkey").agg(fx.necessary_sectors(F.col("entry")).alias("sectors"), F.max(fx.sector_count(F.col("size"))).alias("largest"))
 
 
-@query("SELECT p_brand, CAST(p_partkey % 1024 AS INT) AS chunk_index, max(p_partkey) AS id, arg_max(p_name, p_partkey) AS name FROM part GROUP BY p_brand, p_partkey % 1024")
+@query("SELECT p_brand, p_partkey // 1024 AS region, CAST(p_partkey % 1024 AS INT) AS chunk_index, p_partkey AS id, p_name AS name, CAST(1 + p_partkey % 1024 % 3 AS INT) AS kind FROM part")
 def region_roundtrip(spark, sf):
-    """Every part written, read and decoded; then the last part of each brand's cells, as the SQL has it."""
+    """Every part written as a chunk, read and decoded."""
 
     def read(raw):
         for c in anvil.read(bytes(raw)):
             tree = c.tree()
-            yield {"chunk_index": c.index, "id": tree["id"].value, "name": tree["name"]}
+            yield {"chunk_index": c.index, "id": tree["id"].value, "name": tree["name"], "kind": c.kind}
 
-    chunks = exploded(region_files(spark, sf), read, "chunk_index int, id long, name string", "content")
-    return chunks.groupBy("p_brand", "chunk_index").agg(F.max("id").alias("id"), F.max_by("name", "id").alias("name"))
+    return exploded(region_files(spark, sf), read, "chunk_index int, id long, name string, kind int", "content").drop("content")
 
 
 def region_files(spark, sf):
@@ -633,11 +641,11 @@ def message_build(spark, sf):
     return rows.select("p_partkey", scalar(lambda t: translation.message(list(t), {"Ring": "R", "zzz": "Z"}), "string", "t").alias("message"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_size % 3 = 0 THEN 'out' ELSE 'in' END AS status FROM part WHERE p_size % 3 <> 1) GROUP BY status")
+@query("SELECT concat(p_name, p_partkey) AS source, CASE WHEN p_size % 3 = 2 THEN p_type END AS target FROM part WHERE p_size % 3 <> 1")
 def export_results(spark, sf):
-    rows = _t(spark, sf, "part").selectExpr("p_name AS source", "p_type AS target", "CASE p_size % 3 WHEN 0 THEN 'untranslatable' WHEN 1 THEN 'untranslated' ELSE 'translated' END AS status", "p_size")
-    kept = translation.exported(rows.withColumn("source", F.concat("source", F.lit("|"), "p_size")))
-    return kept.groupBy(F.when(F.element_at(F.split("source", "[|]"), -1).cast("int") % 3 == 0, "out").otherwise("in").alias("status")).agg(F.count("*").alias("n"))
+    """Translated texts, and untranslatable ones without a target; untranslated ones are left out."""
+    kinds = "CASE p_size % 3 WHEN 0 THEN 'untranslatable' WHEN 1 THEN 'untranslated' ELSE 'translated' END AS status"
+    return translation.exported(_t(spark, sf, "part").selectExpr("concat(p_name, p_partkey) AS source", "CASE WHEN p_size % 3 = 2 THEN p_type END AS target", kinds))
 
 
 @query("SELECT l_orderkey, l_linenumber, '\"TEXT\"' AS replacement FROM lineitem")
@@ -679,3 +687,7 @@ def typed_chunks(spark, sf):
 
     rows = _t(spark, sf, "part").select("p_partkey", scalar(build, "binary", "p_partkey", "p_size", "p_type").alias("content"))
     return world.typed_chunks(rows, "terrain").selectExpr("p_partkey", "chunk_index", "chunk_x AS x", "chunk_z AS z", "chunk_status AS status", "chunk_n_block_entities AS n")
+
+
+# the rest registers itself
+from glyphmill import queries_texts, queries_worlds  # noqa: E402, F401

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,14 +31,15 @@ def files(spark: SparkSession, root: str, glob: str = "*", below: str = "") -> D
     """(path, content, length) of all files below a folder, or below a folder or file in it; path is relative to ``root``. None where there is none."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     place = f"{root.rstrip('/')}/{below}".rstrip("/")
-    if below and not _exists(spark, place):
+    if below and not exists(spark, place):
         return spark.createDataFrame([], "path string, content binary, length long")
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     relative = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
     return found.load(place).select(relative.alias("path"), "content", "length")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store that Spark reads has such a file or folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
@@ -292,26 +294,36 @@ def replaced_regions(regions: DataFrame, replacements: DataFrame, patterns: Patt
     return _rewritten_regions(regions, items, picker, patterns, now)
 
 
-def pack_files(spark: SparkSession, root: str) -> DataFrame:
-    """(source, path, content) of the files of all packs in ``datapacks``: folders, and archives ending in .zip.
-
-    Only mcfunction, json and nbt files that aren't empty and have no __MACOSX in their path.
-    """
-    found = files(spark, root, below="datapacks")
-    parts = F.split("path", "/")
-    plain = found.where(F.size(parts) > 2).select(F.element_at(parts, 2).alias("source"), F.array_join(F.slice(parts, 3, 1000), "/").alias("path"), "content")
+def archive_entries(archives: DataFrame) -> DataFrame:
+    """(source, path, content) of the files in archives(source, content), folders left out; none of what is no archive, or of an entry that can't be read."""
 
     def entries(content: bytes) -> Iterator[dict]:
         try:
             with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                 for info in z.infolist():
                     if not info.is_dir():
-                        yield {"inner": info.filename, "data": z.read(info)}
+                        try:
+                            yield {"inner": info.filename, "data": z.read(info)}
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error):
+                            continue
         except zipfile.BadZipFile:
             return
 
+    rows = exploded(archives, entries, "inner string, data binary", "content")
+    return rows.select("source", F.col("inner").alias("path"), F.col("data").alias("content"))
+
+
+def pack_files(spark: SparkSession, root: str) -> DataFrame:
+    """(source, path, content) of the files of all packs in ``datapacks``: folders, and archives ending in .zip.
+
+    Only mcfunction, json and nbt files that aren't empty and have no __MACOSX in their path.
+    """
+    found = files(spark, root, below="datapacks")
+    parts = F.split("path", "/")
+    plain = found.where(F.size(parts) > 2).select(F.element_at(parts, 2).alias("source"), F.array_join(F.slice(parts, 3, 1000), "/").alias("path"), "content")
+
     archives = found.where((F.size(parts) == 2) & F.col("path").endswith(".zip")).select(F.element_at(parts, 2).alias("source"), "content")
-    inside = exploded(archives, entries, "inner string, data binary", "content").select("source", F.col("inner").alias("path"), F.col("data").alias("content"))
+    inside = archive_entries(archives)
     every = plain.unionByName(inside)
     kept = ~F.array_contains(F.split("path", "/"), "__MACOSX") & (F.octet_length("content") > 0)
     return every.where(kept & extension(F.col("path")).isin("mcfunction", "json", "nbt"))
