@@ -1,9 +1,10 @@
 """Vectorised word and n-gram hashing over Arrow text columns.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. These bytes never occur inside a
-UTF-8 sequence, so words can be cut on the encoded text of a whole batch at once. A word's hash is
-a polynomial of random per-byte values modulo 2**64, taken as a difference of prefix sums and then
-mixed; sequences of words are hashed from word hashes in the same way. All of it is deterministic.
+UTF-8 sequence, so words can be cut on the encoded text of a whole batch at once. A word's hash sums
+mixed values of its blocks of eight bytes, each with the block's place in the word; sequences of words
+are hashed from word hashes in the same way. (Powers of a base modulo 2**64 would not do: with any odd
+base, and so with any number of seeds, some pairs of long texts of two letters collide.)
 """
 
 from __future__ import annotations
@@ -40,43 +41,56 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
+_GOLD = U(0x9E3779B97F4A7C15)
 
-    def __init__(self, seed: int):
-        self.base = int(stream(seed, 1)[0]) | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of consecutive stretches of so many values; an empty one sums to 0."""
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values, out=total[1:])
+    end = np.cumsum(sizes)
+    return total[end] - total[end - sizes]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one stretch after the other."""
+    end = np.cumsum(sizes)
+    return np.arange(end[-1] if len(end) else 0) - np.repeat(end - sizes, sizes)
 
 
 class Hasher:
     """Hashes of words and of word sequences; two seeds give independent hashes."""
 
     def __init__(self, seed: int = 1):
-        self.table = stream(seed, 256)
-        self.bytes, self.words = _Powers(seed + 1000), _Powers(seed + 2000)
+        self.block, self.word, self.length, self.run = stream(seed, 4)
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self.bytes.get(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(self.table[data] * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+        """Hash of data[start:end] for each pair."""
+        sizes = end - start
+        blocks = (sizes + 7) >> 3
+        place = _within(blocks)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        value = words[np.repeat(start, blocks) + 8 * place].astype(U)
+        left = np.repeat(sizes, blocks) - 8 * place
+        value &= np.where(left < 8, (U(1) << (U(8) * (left.astype(U) & U(7)))) - U(1), ~U(0))
+        return mix(_sums(mix(value ^ mix(place.astype(U) * _GOLD + self.block)), blocks) + mix(sizes.astype(U) + self.length))
 
     def sequences(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of words[start:end] for each pair; the length is part of it."""
-        up, down = self.words.get(len(words) + 1)
-        total = np.zeros(len(words) + 1, U)
-        np.cumsum(words * up[: len(words)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+        sizes = end - start
+        place = _within(sizes)
+        value = words[np.repeat(start, sizes) + place]
+        return mix(_sums(mix(value ^ mix(place.astype(U) * _GOLD + self.word)), sizes) + mix(sizes.astype(U) + self.length))
+
+    def runs(self, words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """Hash of words[start : start + n] for each start; not that of :meth:`sequences`."""
+        out = np.full(len(start), self.run, U)
+        for j in range(n):
+            out ^= words[start + j]
+            out *= U(0xC4CEB9FE1A85EC53)
+            out ^= out >> U(29)
+        return mix(out)
 
 
 @dataclass

@@ -61,7 +61,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     before = np.concatenate([[0], np.cumsum(kept)])
     words = Words(words.data, start[kept], end[kept], before[words.first])
     at, row = windows(words, SHINGLE)
-    return _HASHER.sequences(_HASHER.spans(words.data, words.start, words.end), at, at + SHINGLE), row, words
+    return _HASHER.runs(_HASHER.spans(words.data, words.start, words.end), at, SHINGLE), row, words
 
 
 def settings(jaccard: float, miss: float = MISS) -> tuple[int, int]:
