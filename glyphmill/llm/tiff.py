@@ -16,10 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glyphmill.llm.arrays import chunks, text_bytes
+
 PLAIN, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
+SUB_IFDS = 330
 _KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "2I", 6: "b", 7: "B", 8: "h", 9: "i", 10: "2i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+#: A page of more bytes is an error in its row, as its header alone may ask for any amount of memory.
 MAX_PAGE = 1 << 30
-PAGE_SCHEMA = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, data binary, error string"
+#: Texts are stored about so many bytes at a time.
+BYTES = 16 << 20
+PAGE_SCHEMA = "page int, parent int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, data binary, error string"
 
 
 def packbits_encode(raw: bytes) -> bytes:
@@ -138,6 +144,7 @@ def _inflate(raw: bytes, size: int) -> bytes:
 @dataclass
 class Page:
     page: int
+    parent: int | None = None
     width: int = 0
     height: int = 0
     bits: int = 0
@@ -150,13 +157,15 @@ class Page:
     tags: dict = field(default_factory=dict)
 
     def row(self) -> tuple:
-        return (self.page, self.width, self.height, self.bits, self.samples, self.compression, self.predictor, self.tiled, self.data, self.error)
+        return (self.page, self.parent, self.width, self.height, self.bits, self.samples, self.compression, self.predictor, self.tiled, self.data, self.error)
 
 
 def _unpredict(block: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
     """Bytes of a decoded strip or tile, one row each, in the file's byte order."""
     step = (width * samples * bits + 7) // 8
-    x = np.frombuffer(block[: rows * step].ljust(rows * step, b"\0"), np.uint8).reshape(rows, step)
+    if len(block) < rows * step:
+        raise ValueError("too short a strip or tile")
+    x = np.frombuffer(block[: rows * step], np.uint8).reshape(rows, step)
     if predictor == 2:
         kind = np.dtype({8: "u1", 16: "u2", 32: "u4"}[bits]).newbyteorder(order)
         y = np.ascontiguousarray(x).view(kind).reshape(rows, width, samples)
@@ -217,7 +226,10 @@ def _image(raw: bytes, page: Page, order: str) -> bytes:
 
 
 def read_pages(raw: bytes | None) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories; what can't be read has ``error`` set."""
+    """The pages of a file, in the order of its directories; what can't be read has ``error`` set.
+
+    Directories below a page's (SubIFDs) follow it as pages of their own, with its number as ``parent``.
+    """
     raw = raw or b""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2], "")
     if not order or len(raw) < 8:
@@ -229,14 +241,19 @@ def read_pages(raw: bytes | None) -> Iterator[Page]:
         yield Page(0, error="not a TIFF file")
         return
     number, entry, wide = ("Q", 20, "Q") if big else ("H", 12, "I")
-    at, seen, count = struct.unpack_from(order + wide, raw, 8 if big else 4)[0] if len(raw) >= (16 if big else 8) else 0, set(), 0
-    while at:
-        page = Page(count)
+    first = struct.unpack_from(order + wide, raw, 8 if big else 4)[0] if len(raw) >= (16 if big else 8) else 0
+    waiting, seen, count = [(first, None)], set(), 0
+    while waiting:
+        at, parent = waiting.pop(0)
+        if not at:
+            continue
+        page = Page(count, parent)
         if at in seen:
             page.error = "the directories form a loop"
             yield page
             return
         seen.add(at)
+        following = 0
         try:
             n = struct.unpack_from(order + number, raw, at)[0]
             start = at + struct.calcsize(number)
@@ -250,15 +267,16 @@ def read_pages(raw: bytes | None) -> Iterator[Page]:
                 if struct.calcsize(form) > (8 if big else 4):
                     place = struct.unpack_from(order + wide, raw, place)[0]
                 page.tags[tag] = struct.unpack_from(form, raw, place)
-            at = struct.unpack_from(order + wide, raw, start + n * entry)[0]
+            following = struct.unpack_from(order + wide, raw, start + n * entry)[0]
         except struct.error as e:
-            page.error, at = f"directory: {e}", 0
+            page.error = f"directory: {e}"
         if page.error is None:
             try:
                 page.data = _image(raw, page, order)
             except (ValueError, KeyError, IndexError, zlib.error, OverflowError) as e:
                 page.error = str(e) or type(e).__name__
         yield page
+        waiting = [(x, count) for x in page.tags.get(SUB_IFDS, ()) if isinstance(x, int)] + [(following, parent), *waiting]
         count += 1
 
 
@@ -312,7 +330,7 @@ def tiff_pages(files: DataFrame, content: str = "content", keys: tuple[str, ...]
     schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys) + ", " + PAGE_SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
+        kinds = [pa.int32()] * 8 + [pa.bool_(), pa.binary(), pa.string()]
         for batch in batches:
             for i in range(batch.num_rows):
                 for page in read_pages(batch.column(len(keys))[i].as_py()):
@@ -358,12 +376,16 @@ def page_features(page: Page) -> tuple[float, int]:
 
 
 def text_media(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text of ``documents(doc_id, text, ...)`` stored as a TIFF; null counts as empty."""
+    """(doc_id, n_bytes, media): each whole text of ``documents(doc_id, text, ...)`` stored as a TIFF; null counts as empty.
+
+    Rows stand alone: repeated rows and null ids come out as they are, an empty table gives none, and
+    other columns aren't read. Slices of a batch are cut by bytes, a longer text is one of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for a, b in chunks(text_bytes(batch.column("text"))[1], BYTES):
+                part = batch.slice(a, b - a)
                 stored = [store_text(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in stored], pa.int64()), pa.array([x for _, x in stored], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -374,21 +396,24 @@ def media_digests(media: DataFrame) -> DataFrame:
     """What the pages of ``media(doc_id, n_bytes, media)`` hold together, read back from the stored bytes.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes,
-    media_sha256, n_pages and feature: per page its mean and a 64-bit difference hash, joined by ';'.
+    media_sha256, n_pages, feature (per page its mean and a 64-bit difference hash, joined by ';') and
+    error. A file with a page that can't be read, or null, has ``error`` set and no payload or feature.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pages", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pages", "feature", "error"]
 
-    def one(n: int, raw: bytes) -> tuple:
-        digest, tail, size, pages, features = hashlib.sha256(), b"", 0, 0, []
+    def one(n: int | None, raw: bytes | None) -> tuple:
+        digest, tail, size, pages, features, error = hashlib.sha256(), b"", 0, 0, [], None
         for page in read_pages(raw):
-            if page.error:
-                raise ValueError(page.error)
-            digest.update(page.data)
-            tail, size, pages = (tail + page.data)[-32:], size + len(page.data), pages + 1
-            features.append("{:.4f}:{:016x}".format(*page_features(page)))
-        return n, size, digest.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), pages, ";".join(features)
+            error = error or page.error
+            if not page.error and not error:
+                digest.update(page.data)
+                tail, size = (tail + page.data)[-32:], size + len(page.data)
+                features.append("{:.4f}:{:016x}".format(*page_features(page)))
+            pages += 1
+        payload = (None, None, None) if error else (size, digest.hexdigest(), zlib.crc32(tail))
+        return n, *payload, None if raw is None else len(raw), None if raw is None else hashlib.sha256(raw).hexdigest(), pages, None if error else ";".join(features), error
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,5 +421,5 @@ def media_digests(media: DataFrame) -> DataFrame:
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pages long, feature string"
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pages long, feature string, error string"
     return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {schema}")

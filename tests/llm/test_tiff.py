@@ -82,6 +82,36 @@ def test_broken_files_give_errors_not_failures():
     assert [p.error for p in tiff.read_pages(None)] == ["not a TIFF file"]
 
 
+@pytest.mark.parametrize("codec", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_short_strips_are_errors(codec):
+    """With each strip's byte count halved nothing is filled in."""
+    raw = bytearray(tiff.write_tiff(random.Random(1).randbytes(100 * 30), 100, 30, codec, strip=10))
+    at = struct.unpack_from("<I", raw, 4)[0]
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        tag, _, n, place = struct.unpack_from("<HHII", raw, at + 2 + 12 * k)
+        if tag == 279:
+            sizes = struct.unpack_from(f"<{n}I", raw, place)
+            struct.pack_into(f"<{n}I", raw, place, *(x // 2 for x in sizes))
+    (page,) = tiff.read_pages(bytes(raw))
+    assert page.error and page.data == b""
+
+
+def test_directories_below_a_page():
+    """A file whose second and third page hang below the first."""
+    raw = bytearray(tiff.write_tiff(bytes(range(90)), 10, 3, tiff.PLAIN, strip=3))
+    at, places = struct.unpack_from("<I", raw, 4)[0], []
+    while at:
+        places.append(at)
+        link = at + 2 + 12 * struct.unpack_from("<H", raw, at)[0]
+        at = struct.unpack_from("<I", raw, link)[0]
+    n = struct.unpack_from("<H", raw, places[0])[0]
+    struct.pack_into("<HHII", raw, places[0] + 2 + 12 * (n - 1), tiff.SUB_IFDS, 4, 1, places[1])  # in place of the last tag, the strips' sizes
+    struct.pack_into("<I", raw, places[0] + 2 + 12 * n, 0)
+    pages = list(tiff.read_pages(bytes(raw)))
+    assert [(p.page, p.parent) for p in pages] == [(0, None), (1, 0), (2, 0)] and pages[1].data == bytes(range(30, 60)) and pages[0].error
+    assert pages[2].error is None
+
+
 def test_operator_one_row_per_page(spark):
     raw = tiff.write_tiff(bytes(range(100)) * 30, 100, 16)
     files = spark.createDataFrame([("a", bytearray(raw), 1), ("b", None, 2), ("c", bytearray(b""), 3)], "path string, content binary, page int")
@@ -110,3 +140,12 @@ def test_edge_texts(spark):
     rows = tiff.media_digests(tiff.text_media(docs)).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in rows) == [(0, 576), (0, 576), (576, 576), (200_000, 200_448), (200_000, 200_448)]
     assert tiff.media_digests(tiff.text_media(docs.limit(0))).collect() == []
+
+
+def test_bad_media_are_rows_with_an_error(spark):
+    good = tiff.write_tiff(bytes(576), 576)
+    media = spark.createDataFrame([(1, 0, bytearray(good)), (2, 0, bytearray(good[:-20])), (3, None, None)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in tiff.media_digests(media).collect()}
+    assert rows[1].error is None and rows[1].payload_bytes == 576
+    assert rows[2].error and rows[2].payload_sha256 is None and rows[2].media_bytes == len(good) - 20
+    assert rows[3].error == "not a TIFF file" and rows[3].media_sha256 is None
