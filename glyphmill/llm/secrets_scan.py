@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glyphmill.llm.arrays import chunks, released, text_bytes
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
 #: A run of so many characters or more is random if it has fewer characters a token than RATIO.
@@ -49,17 +51,14 @@ def is_random(parts: list[str], vocabulary: str = VOCABULARY) -> bool:
 
 
 def is_known(run: str, vocabulary: str = VOCABULARY) -> bool:
-    """A digest, UUID or number, or an identifier: made of words of three letters or more, with short numbers.
-
-    Letters of one case are words if they take few tokens.
-    """
+    """A digest, UUID or number, or an identifier: made of words of three letters or more, which take few tokens, with short numbers."""
     if _DIGEST.fullmatch(run) or not any(c.isalpha() for c in run):
         return True
     parts = _PART.findall(run)
     letters = [p for p in parts if p.isalpha()]
-    if len(letters) == len(parts) and (run.lower() == run or run.upper() == run):
-        return not is_random(letters, vocabulary)
-    return all(len(p) >= 3 for p in letters) and all(len(p) <= 4 for p in parts if p.isdigit())
+    one_case = len(letters) == len(parts) and (run.lower() == run or run.upper() == run)
+    words = one_case or (all(len(p) >= 3 for p in letters) and all(len(p) <= 4 for p in parts if p.isdigit()))
+    return words and not is_random(letters, vocabulary)
 
 
 def scan(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[str, int, int]]:
@@ -102,6 +101,7 @@ def secret_spans(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -123,19 +123,25 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", vocabulary: str = VOCAB
     """
     import pyspark.sql.functions as F
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            out, at = [], 0
-            for _, s, e in scan(text, vocabulary):
-                if s >= at:
-                    out += [text[at:s], mark]
-                at = max(at, e)
-            return "".join(out) + text[at:]
-
-        return texts.map(one, na_action="ignore")
-
-    new = documents.withColumn("text", clean("text"))
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        for _, s, e in scan(text, vocabulary):
+            if s >= at:
+                out += [text[at:s], mark]
+            at = max(at, e)
+        return "".join(out) + text[at:] if out else text
+
+    names, place = documents.columns, documents.columns.index("text")
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(text_bytes(batch.column(place))[1]):
+                part = batch.slice(a, b - a)
+                texts = pa.array([clean(x) for x in part.column(place).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if i == place else x for i, x in enumerate(part.columns)], names)
+
+    new = documents.mapInArrow(run, documents.schema)
     return new.withColumn("n_chars", F.coalesce(F.char_length("text").cast(documents.schema["n_chars"].dataType), "n_chars")) if "n_chars" in documents.columns else new

@@ -107,3 +107,30 @@ def test_edges_and_redaction(spark):
     assert clean == {(1, "", 0), (2, "", 0), (None, "a [SECRET] b", 12), (3, "[SECRET]!", 9), (3, "x" * 20, 300_000)}
     assert secrets_scan.secret_spans(docs.limit(0)).collect() == []
     assert re.fullmatch("[0-9a-f]{64}", secrets_scan.secret_spans(docs).first().base_sha256)
+
+
+def test_recall_and_precision_of_random_strings():
+    """Random strings of each alphabet are found, identifiers made of words of the vocabulary are not."""
+    import base64
+    import random
+    import string
+
+    r, lower = random.Random(1), string.ascii_lowercase
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = {
+        "lower": (lambda: pick(lower, 30), 0.98),
+        "upper": (lambda: pick(lower.upper(), 30), 0.98),
+        "mixed": (lambda: pick(string.ascii_letters, 30), 0.98),
+        "letters and digits": (lambda: pick(string.ascii_letters + string.digits, 24), 0.98),
+        "lower and digits": (lambda: pick(lower + string.digits, 32), 0.98),
+        "base32": (lambda: base64.b32encode(r.randbytes(20)).decode(), 0.98),
+        "base64": (lambda: base64.b64encode(r.randbytes(30)).decode(), 0.98),
+    }
+    found = lambda text: any(k == "random" for k, _, _ in secrets_scan.scan(f"see {text} there"))
+    for name, (make, least) in kinds.items():
+        share = sum(found(make()) for _ in range(400)) / 400
+        assert share >= least, (name, share)
+    words = "account record number window handler process request manager session update content stream buffer network service parser document version release controller".split()
+    forms = (lambda w: "".join(x.title() for x in w), "_".join, "-".join, lambda w: "_".join(w).upper(), lambda w: w[0] + "".join(x.title() for x in w[1:]) + str(r.randrange(100)))
+    wrong = sum(found(r.choice(forms)([r.choice(words) for _ in range(4)])) for _ in range(1000))
+    assert wrong <= 5
