@@ -53,9 +53,27 @@ class Workspace:
             pass
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, path)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any store that Spark reads; nothing if there is none."""
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
+
+
+def complete_tables(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that a writer has finished."""
+    at, fs = _place(spark, path)
+    if not fs.exists(at):
+        return []
+    found = [x.getPath() for x in fs.listStatus(at) if x.isDirectory()]
+    return sorted(x.getName() for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
 
 
 def partitions(spark: SparkSession) -> int:

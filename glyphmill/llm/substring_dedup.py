@@ -3,25 +3,27 @@
 A window is a run of 13 words. Its fingerprint is the least hash of the 7-word runs inside it, which
 consecutive windows mostly share, so a document has about one fingerprint for four words, and equal
 windows have equal fingerprints. The index holds (fingerprint, doc_id) in immutable runs, bucketed
-and sorted by fingerprint. Documents come in batches: a batch is written as a run, merge-joined with
-the runs before it bucket by bucket (no shuffle of history), and older runs are compacted into one.
-Fingerprints that several documents hold are only candidates: the windows behind them are read again
-from the texts and verified as whole word sequences by two independent 64-bit hashes.
+and sorted by fingerprint, in a folder that later sessions can open again. Documents come in batches:
+a batch is written as a run, merge-joined with the runs before it bucket by bucket (no shuffle of
+history), and older runs are compacted into one. Fingerprints that several documents hold are only
+candidates: the windows behind them are read again from the texts and verified as whole word
+sequences by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import U, Hasher, Words, chunks, text_bytes, windows, words_of
+from glyphmill.llm.arrays import U, Hasher, Words, chunks, released, text_bytes, windows, words_of
 from glyphmill.llm.ngram_join import BROADCAST_IDS
-from glyphmill.llm.shared import Workspace, partitions
+from glyphmill.llm.shared import Workspace, complete_tables, delete, partitions
 
 WINDOW, GRAM = 13, 7
 #: Runs that a batch is joined with at most; beyond it they are compacted first.
@@ -43,7 +45,7 @@ def _fingerprints(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, U)
     size = len(hashes) - GRAM + 1
-    grams = _HASHERS[0].sequences(hashes, np.arange(size), np.arange(GRAM, GRAM + size))
+    grams = _HASHERS[0].runs(hashes, np.arange(size), GRAM)
     least = grams[start].copy()
     for j in range(1, WINDOW - GRAM + 1):
         np.minimum(least, grams[start + j], out=least)
@@ -54,6 +56,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+@released
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_words, high, low): length and 128-bit hash of each word sequence."""
     for batch in batches:
@@ -63,6 +66,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(words.first)), _signed(high), _signed(low)], ["doc_id", "n_words", "high", "low"])
 
 
+@released
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, doc_id) for every change of fingerprint along a document."""
     for batch in batches:
@@ -74,6 +78,7 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([_signed(h[new]), batch.column("doc_id").slice(a, b - a).take(pa.array(doc[new]))], ["h", "doc_id"])
 
 
+@released
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(high, low, doc_id, whole, at): the windows whose fingerprint is in the row's ``shared``; whole is the text's own hash."""
     for batch in batches:
@@ -89,11 +94,12 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, doc = start[keep], doc[keep]
             second = _HASHERS[1].spans(words.data, words.start, words.end)
             whole = _HASHERS[0].sequences(hashes, words.first[:-1], words.first[1:])
-            high, low = _HASHERS[0].sequences(hashes, start, start + WINDOW), _HASHERS[1].sequences(second, start, start + WINDOW)
+            high, low = _HASHERS[0].runs(hashes, start, WINDOW), _HASHERS[1].runs(second, start, WINDOW)
             ids = batch.column("doc_id").slice(a, b - a).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([_signed(high), _signed(low), ids, _signed(whole[doc]), pa.array((start - words.first[doc]).astype(np.int32))], ["high", "low", "doc_id", "whole", "at"])
 
 
+@released
 def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From window starts of a text to the spans of words that they cover, as pairs of 32-bit numbers."""
     for batch in batches:
@@ -124,58 +130,105 @@ def kept_words(raw: bytes, cuts: list[dict] | None) -> tuple[list[bytes], int]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, doc_id), as bucketed tables in the shared folder."""
+    """Sorted immutable runs of (h, doc_id) as bucketed tables in one folder of a store that every executor sees.
 
-    def __init__(self, work: Workspace):
-        self.work, self.spark = work, work.spark
-        self.buckets, self.runs, self.made = partitions(work.spark), [], 0
-        self.id = uuid.uuid4().hex[:12]
+    A run's name tells the batches that it covers and its number of buckets, and only a finished one counts;
+    a compacted run stands for all whose batches it covers. So opening the folder again, in another
+    session or after a failure at any point, finds exactly the batches that were added.
+    """
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"fingerprints_{self.id}_{self.made}"
-        self.made += 1
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.spark, self.root, self.id = spark, root, uuid.uuid4().hex[:12]
+        found = sorted((tuple(map(int, name.split("-")[1:])) for name in complete_tables(spark, root) if name.startswith("run-")), key=lambda x: (x[0], -x[1]))
+        self.runs: list[tuple[int, int, int]] = []
+        for run in found:
+            if not self.runs or run[0] > self.runs[-1][1]:
+                self.runs.append(run)
+        for run in found:
+            if run not in self.runs:
+                delete(spark, self._path(run))
+        for run in self.runs:
+            spark.sql(f"CREATE TABLE {self._table(run)} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h, doc_id) INTO {run[2]} BUCKETS LOCATION '{self._path(run)}'")
+        self.buckets = buckets or (self.runs[-1][2] if self.runs else partitions(spark))
+
+    def _path(self, run: tuple[int, int, int]) -> str:
+        return f"{self.root}/run-{run[0]}-{run[1]}-{run[2]}"
+
+    def _table(self, run: tuple[int, int, int]) -> str:
+        return f"fingerprints_{self.id}_{run[0]}_{run[1]}"
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> tuple[int, int, int]:
+        run = (first, last, self.buckets)
+        delete(self.spark, self._path(run))
         sorted_rows = rows.repartition(self.buckets, "h")
-        sorted_rows.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", f"{self.work.root}/{name}").bucketBy(self.buckets, "h").sortBy("h", "doc_id").saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.work.drop(name)
+        sorted_rows.write.format("parquet").option("compression", "zstd").option("path", self._path(run)).bucketBy(self.buckets, "h").sortBy("h", "doc_id").saveAsTable(self._table(run))
+        return run
 
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            merged = self.spark.table(self.runs[0])
-            for name in self.runs[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            old, self.runs = self.runs, [self._write(merged)]
-            for name in old:
-                self._drop(name)
-
-    def add(self, docs: DataFrame) -> DataFrame:
+            merged = self.spark.table(self._table(self.runs[0]))
+            for run in self.runs[1:]:
+                merged = merged.unionByName(self.spark.table(self._table(run)))
+            old, self.runs = self.runs, [self._write(merged, self.runs[0][0], self.runs[-1][1])]
+            for run in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+                delete(self.spark, self._path(run))
+
+    def candidates(self, docs: DataFrame, work: Workspace) -> DataFrame:
         """Add a batch; (h, doc_id) of the fingerprints it shares among its documents or with history, from either side."""
         if len(self.runs) >= FAN_IN:
             self.compact()
-        new = self._write(docs.mapInArrow(fingerprint_rows, "h long, doc_id long"))
-        batch = self.spark.table(new)
+        number = self.runs[-1][1] + 1 if self.runs else 1
+        new = self._write(docs.mapInArrow(fingerprint_rows, "h long, doc_id long"), number, number)
+        batch = self.spark.table(self._table(new))
         ends = batch.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
         keys = ends.where("x < y").select("h")
-        old = [self.spark.table(name) for name in self.runs]
+        old = [self.spark.table(self._table(run)) for run in self.runs]
         for run in old:
             keys = keys.unionByName(ends.join(run, "h", "left_semi").select("h"))
-        keys = self.work.save(keys.distinct(), f"keys-{self.made}")
+        keys = work.save(keys.distinct(), f"keys-{number}")
         found = batch.join(keys, "h", "left_semi").distinct()
         for run in old:
             found = found.unionByName(run.join(keys, "h", "left_semi").distinct())
         self.runs.append(new)
-        return self.work.save(found, f"found-{self.made}")
+        found = work.save(found, f"found-{number}")
+        work.drop(f"keys-{number}")
+        return found
+
+    def add(self, docs: DataFrame, history: DataFrame) -> DataFrame:
+        """Add a batch ``docs(doc_id, text)``; verified (doc_id, whole, spans) of what its documents repeat.
+
+        ``history`` holds the texts of the batches before, of which only those that share a fingerprint
+        with the batch are looked at again. As everywhere here, the smallest doc_id keeps its words, so new
+        batches should have larger ids than old ones. Rows without a doc_id are left out.
+        """
+        work = Workspace(self.spark, "batch")
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+        texts = docs.unionByName(history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        cuts = _window_cuts(texts, self.candidates(docs, work), work)
+        return work.save(cuts.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "cuts")
 
     def close(self) -> None:
-        for name in self.runs:
-            self._drop(name)
+        """Take the runs' tables out of the session's catalog; the folder stays."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
         self.runs = []
 
 
+def _window_cuts(docs: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, whole, spans) of the words that windows with the candidate fingerprints ``found(h, doc_id)`` repeat."""
+    shared = work.save(found.groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared")
+    own = shared.select("doc_id")
+    texts = docs.join(F.broadcast(own) if shared.count() <= BROADCAST_IDS else own, "doc_id", "left_semi").join(shared, "doc_id")
+    rows = work.save(texts.select("doc_id", "text", "shared").mapInArrow(window_rows, "high long, low long, doc_id long, whole long, at int"), "windows")
+    firsts = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
+    firsts = work.save(firsts, "firsts")
+    later = rows.join(firsts, ["high", "low"]).where("doc_id > first")
+    starts = later.groupBy("doc_id", "whole").agg(F.collect_set("at").alias("starts"))
+    return starts.mapInArrow(covered, "doc_id long, whole long, spans binary")
+
+
 def _cuts(docs: DataFrame, batches: int, work: Workspace) -> DataFrame:
     """(doc_id, whole, spans) of every text of which something goes."""
     info = work.save(docs.mapInArrow(describe, "doc_id long, n_words long, high long, low long"), "info")
@@ -192,26 +245,18 @@ def _cuts(docs: DataFrame, batches: int, work: Workspace) -> DataFrame:
 
     bounds = info.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     bounds = sorted(set(bounds or []))
-    index, shared = FingerprintIndex(work), None
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = rest if low is None else rest.where(F.col("doc_id") > low)
-        found = index.add(part if high is None else part.where(F.col("doc_id") <= high))
-        shared = found if shared is None else shared.unionByName(found)
-    index.close()
-    shared = work.save(shared.groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared")
-
-    own = shared.select("doc_id")
-    texts = rest.join(F.broadcast(own) if shared.count() <= BROADCAST_IDS else own, "doc_id", "left_semi").join(shared, "doc_id")
-    rows = work.save(texts.select("doc_id", "text", "shared").mapInArrow(window_rows, "high long, low long, doc_id long, whole long, at int"), "windows")
-    work.drop(*(f"found-{i}" for i in range(1, index.made + 1)), *(f"keys-{i}" for i in range(1, index.made + 1)))
-    firsts = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
-    firsts = work.save(firsts, "firsts")
-    later = rows.join(firsts, ["high", "low"]).where("doc_id > first")
-    starts = later.groupBy("doc_id", "whole").agg(F.collect_set("at").alias("starts"))
-    cuts = starts.mapInArrow(covered, "doc_id long, whole long, spans binary")
+    index, found = FingerprintIndex(work.spark, f"{work.root}/index"), []
+    try:
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            part = rest if low is None else rest.where(F.col("doc_id") > low)
+            found.append(index.candidates(part if high is None else part.where(F.col("doc_id") <= high), work))
+    finally:
+        index.close()
+    work.drop("index")
+    cuts = _window_cuts(rest, functools.reduce(DataFrame.unionByName, found), work)
     all_of = F.unhex(F.concat(F.lit("00000000"), *(F.lpad(F.hex(F.shiftrightunsigned("n_words", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
     cuts = work.save(cuts.unionByName(copies.select("doc_id", "whole", all_of.alias("spans"))), "cuts")
-    work.drop("windows", "firsts", "least", "shared", "info", "copies")
+    work.drop("windows", "firsts", "least", "shared", "info", "copies", *(f"found-{i + 1}" for i in range(len(found))))
     return cuts
 
 
@@ -231,6 +276,7 @@ def cut_repeats(documents: DataFrame, batches: int = 3) -> DataFrame:
     by_doc = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("whole", "spans")).alias("cuts"))
     joined = docs.join(F.broadcast(by_doc) if size <= BROADCAST_CUTS else by_doc, "doc_id", "left")
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(0, part.num_rows, 256):
@@ -243,5 +289,3 @@ def cut_repeats(documents: DataFrame, batches: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(columns[0]), pa.string()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64())], ["doc_id", "kept", "n_words", "n_removed"])
 
     return joined.select("doc_id", "text", "cuts").mapInArrow(run, "doc_id long, kept string, n_words long, n_removed long")
-
-

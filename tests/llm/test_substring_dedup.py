@@ -4,8 +4,11 @@ import re
 
 import pytest
 
+import numpy as np
+
 from glyphmill.llm.queries import QUERIES
-from glyphmill.llm.substring_dedup import cut_repeats
+from glyphmill.llm.shared import complete_tables
+from glyphmill.llm.substring_dedup import FingerprintIndex, cut_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,3 +69,31 @@ def test_query(spark, sf):
 
 def test_no_rows(spark):
     assert cut_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_index_opens_again_and_takes_batches(spark, tmp_path):
+    """Each batch against all before it, each time through an index that is opened anew; one folder is left unfinished."""
+    rows, root = corpus(4, 120), str(tmp_path / "index")
+    expected = {i: g for i, _, _, g in brute(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    bounds, found = (0, 90, 180, 270, 360), {}
+    for low, high in zip(bounds, bounds[1:]):
+        (tmp_path / "index" / "run-77-77-4").mkdir(parents=True, exist_ok=True)
+        index = FingerprintIndex(spark, root)
+        assert len(index.runs) <= 2
+        for r in index.add(docs.where(f"doc_id >= {low} and doc_id < {high}"), docs.where(f"doc_id < {low}")).collect():
+            assert low <= r.doc_id < high
+            found[r.doc_id] = sum(int(e - s) for s, e in np.frombuffer(r.spans, "<i4").reshape(-1, 2))
+        index.close()
+    assert found == {i: g for i, g in expected.items() if g}
+    assert {x.split("-")[0] for x in complete_tables(spark, root)} == {"run"} and len(complete_tables(spark, root)) <= 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_words_that_powers_of_an_odd_base_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in cut_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
