@@ -10,7 +10,8 @@ Cost-based allocation: a segment that is empty, or whose key is frequent in a bo
 *heavy*. A document with at most ``E`` heavy segments leaves them out and no pair is lost. One with
 more ("deficit") adds one-deletion neighbourhoods of every eighth segment, each of which detects a
 difference of one and so counts twice; only where even that does not make up for the heavy segments
-are they emitted too. Pairs of documents that share a key are compared exactly on their sets.
+are they emitted too. Of documents that share a key, sizes and parity sketches, which rule out no similar
+pair, leave few; those are compared exactly on their sets.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         start, doc = windows(words, n)
         counts = np.diff(words.first)
         short = np.flatnonzero((counts > 0) & (counts < n))
-        tokens = hasher.sequences(hashes, np.concatenate([start, words.first[short]]), np.concatenate([start + n, words.first[short + 1]]))
+        tokens = np.concatenate([hasher.runs(hashes, start, n), hasher.sequences(hashes, words.first[short], words.first[short + 1])])
         doc = np.concatenate([doc, short])
         if len(short):
             order = np.argsort(doc, kind="stable")
@@ -148,13 +149,43 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by hash, about two bits a token.
+
+    Two sketches, folded to one length, differ in no more bits than the sets differ in tokens.
+    """
+    length = min(16384, max(256, 1 << int(2 * len(tokens) - 1).bit_length())) if len(tokens) else 256
+    odd = np.bincount((mix(tokens) & U(length - 1)).astype(np.int64), minlength=length) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, U).reshape(-1, size // 8), axis=0)
+
+
 @released
 def describe(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, size, high, low): the size of each row's set and a 128-bit digest of it."""
+    """(doc_id, size, high, low, bits): the size of each row's set, a 128-bit digest and a sketch of it."""
     for batch in batches:
         for a, b, tokens, first in _sets(batch.column("text"), n):
             high, low = _digests(tokens, first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), _long(high), _long(low)], ["doc_id", "size", "high", "low"])
+            bits = pa.array([_sketch(tokens[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), _long(high), _long(low), bits], ["doc_id", "size", "high", "low", "bits"])
+
+
+@released
+def plausible(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (a, b) of rows (a, b, s, t, x, y) whose sizes and sketches don't rule similarity out."""
+    for batch in batches:
+        size, other = (np.asarray(batch.column(c)) for c in ("s", "t"))
+        keep = q * np.minimum(size, other) >= p * np.maximum(size, other)
+        left, right = batch.column("x"), batch.column("y")
+        for i in np.flatnonzero(keep):
+            x, y = left[i].as_py(), right[i].as_py()
+            least = min(len(x), len(y))
+            differ = int(np.bitwise_count(_folded(x, least) ^ _folded(y, least)).sum())
+            keep[i] = differ * (q + p) <= (q - p) * int(size[i] + other[i])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
 @released
@@ -213,11 +244,11 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @released
 def set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, size, tokens): the sorted distinct tokens as bytes."""
+    """(doc_id, tokens): the sorted distinct tokens as bytes."""
     for batch in batches:
         for a, b, tokens, first in _sets(batch.column("text"), n):
             own = [tokens[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(own, pa.binary())], ["doc_id", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(own, pa.binary())], ["doc_id", "tokens"])
 
 
 @released
@@ -233,22 +264,6 @@ def compare(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
-@released
-def sketches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, size, bits): parities of the tokens by hash, about two bits a token.
-
-    Two sketches, folded to one length, differ in no more bits than the sets differ in tokens.
-    """
-    for batch in batches:
-        for a, b, tokens, first in _sets(batch.column("text"), n):
-            out = []
-            for s, e in zip(first[:-1], first[1:], strict=True):
-                length = min(16384, max(256, 1 << int(2 * (e - s) - 1).bit_length())) if e > s else 256
-                odd = np.bincount((mix(tokens[s:e]) & U(length - 1)).astype(np.int64), minlength=length) & 1
-                out.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(out, pa.binary())], ["doc_id", "size", "bits"])
-
-
 def _near(p: int, q: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket's rows (doc_id, label, block, size, bits) of different labels that their sketches don't rule out.
 
@@ -258,8 +273,7 @@ def _near(p: int, q: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     least = min(len(r[4]) for r in rows)
     bits = np.zeros((len(rows), least // 8), U)
     for i, r in enumerate(rows):
-        x = np.frombuffer(r[4], U)
-        bits[i] = np.bitwise_xor.reduce(x.reshape(-1, least // 8), axis=0)
+        bits[i] = _folded(r[4], least)
     two = len(np.unique(block)) > 1
     a, b = [], []
     for i in range(len(rows) - 1):
@@ -297,35 +311,44 @@ def open_pairs(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield done()
 
 
-def _cross(docs: DataFrame, named: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
+def _few(frame: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(frame) if frame.count() <= most else frame
+
+
+def _cross(info: DataFrame, named: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
     """Candidate (a, b) of different components in the open buckets, whichever size these have."""
-    n, p, q = scheme.n, scheme.p, scheme.q
+    p, q = scheme.p, scheme.q
     ids = work.save(named.select("doc_id").distinct(), "cross-ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    bits = work.save(texts.mapInArrow(lambda x: sketches(n, x), "doc_id long, size long, bits binary"), "cross-bits")
+    bits = info.select("doc_id", "size", "bits").join(_few(ids), "doc_id", "left_semi")
     counts = named.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
     placed = named.select("key", "doc_id", "label").join(counts, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "k"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
     placed = placed.withColumn("ij", F.explode(others)).select("key", "ij.i", "ij.j", "doc_id", "label", "block").join(bits, "doc_id")
-    placed = placed.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    placed = placed.repartition(partitions(info.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return placed.mapInArrow(lambda x: open_pairs(p, q, x), "a long, b long")
 
 
+def _promising(info: DataFrame, pairs: DataFrame, scheme: Scheme, work: Workspace, name: str) -> DataFrame:
+    """The pairs that sizes and sketches, about a thirtieth of the sets' bytes, don't rule out."""
+    p, q = scheme.p, scheme.q
+    pairs = work.save(pairs.distinct(), f"{name}-all")
+    ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-some")
+    bits = info.select("doc_id", "size", "bits").join(_few(ids), "doc_id", "left_semi")
+    left, right = (bits.select(F.col("doc_id").alias(k), F.col("size").alias(s), F.col("bits").alias(x)) for k, s, x in (("a", "s", "x"), ("b", "t", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(lambda x: plausible(p, q, x), "a long, b long")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, scheme: Scheme, work: Workspace, name: str) -> DataFrame:
     """The (a, b) of pairs whose sets are similar."""
     pairs = work.save(pairs.distinct(), f"{name}-pairs")
     ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = docs.join(_few(ids), "doc_id", "left_semi")
     n, p, q = scheme.n, scheme.p, scheme.q
-    sets = texts.mapInArrow(lambda x: set_rows(n, x), "doc_id long, size long, tokens binary")
-    sets = work.save(sets, f"{name}-sets")
-    size = sets.select("doc_id", "size")
-    sized = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("size").alias("s")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("size").alias("t")), "b")
-    sized = sized.where(f"least(s, t) * {q} >= greatest(s, t) * {p}").select("a", "b")
-    full = sized.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    sets = work.save(texts.mapInArrow(lambda x: set_rows(n, x), "doc_id long, tokens binary"), f"{name}-sets")
+    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     links = work.save(full.mapInArrow(lambda x: compare(p, q, x), "a long, b long").distinct(), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-pairs", f"{name}-ids")
+    work.drop(*(f"{name}-{x}" for x in ("all", "some", "sets", "pairs", "ids")))
     return links
 
 
@@ -353,10 +376,11 @@ def similar_groups(documents: DataFrame, n: int = 5, p: int = 4, q: int = 5) ->
     spark = documents.sparkSession
     work, scheme = Workspace(spark, "ngram"), Scheme(n, p, q)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = docs.mapInArrow(lambda x: describe(n, x), "doc_id long, size long, high long, low long")
+    info = docs.mapInArrow(lambda x: describe(n, x), "doc_id long, size long, high long, low long, bits binary")
     info = work.save(info, "info")
     known = info.where("size > 0 and doc_id is not null")
-    least = known.groupBy("high", "low").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most")
+    # written before the join with its rows, so that Spark can split a hot group's rows
+    least = work.save(known.groupBy("high", "low").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").drop("most"), "least")
     equal = known.join(least, ["high", "low"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     equal = work.save(equal, "equal")
 
@@ -367,16 +391,16 @@ def similar_groups(documents: DataFrame, n: int = 5, p: int = 4, q: int = 5) ->
 
     # each document against the least partner of all its buckets, then what the links found so far leave open
     first = buckets.where("doc_id <> least").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = equal.unionByName(_verify(docs, first, scheme, work, "first"))
+    links = equal.unionByName(_verify(docs, _promising(info, first, scheme, work, "first"), scheme, work, "first"))
     labels = components(links, work, "cc1")
-    named = _open_buckets(buckets, labels, work, "open1")
+    named = _once(_open_buckets(buckets, labels, work, "open1"), work)
     if not named.isEmpty():
         star = named.where("label <> least_label").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-        links = links.unionByName(_verify(docs, star, scheme, work, "star"))
+        links = links.unionByName(_verify(docs, _promising(info, star, scheme, work, "star"), scheme, work, "star"))
         labels = components(links, work, "cc2")
         named = _open_buckets(named.select("key", "least", "doc_id"), labels, work, "open2")
         if not named.isEmpty():
-            links = links.unionByName(_verify(docs, _cross(docs, named, scheme, work), scheme, work, "cross"))
+            links = links.unionByName(_verify(docs, _cross(info, named, scheme, work), scheme, work, "cross"))
             labels = components(links, work, "cc3")
     out = info.select("doc_id", F.col("size").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -384,10 +408,16 @@ def similar_groups(documents: DataFrame, n: int = 5, p: int = 4, q: int = 5) ->
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(key, least, doc_id, label, least_label) of the buckets that still hold documents of several components."""
-    to = labels.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-    named = buckets.join(to, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labels = _few(work.save(labels, f"{name}-labels"))
+    named = buckets.join(labels.withColumnsRenamed({"node": "doc_id", "component": "label"}), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     named = named.join(mixed, "key", "left_semi")
-    of_least = labels.withColumnRenamed("node", "least").withColumnRenamed("component", "least_label")
-    named = named.join(of_least, "least", "left").withColumn("least_label", F.coalesce("least_label", "least"))
+    named = named.join(labels.withColumnsRenamed({"node": "least", "component": "least_label"}), "least", "left").withColumn("least_label", F.coalesce("least_label", "least"))
     return work.save(named.select("key", "least", "doc_id", "label", "least_label"), name)
+
+
+def _once(named: DataFrame, work: Workspace) -> DataFrame:
+    """One of the buckets that hold the same documents; those that share a passage often meet under dozens of keys."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("doc_id"))).alias(f"h{seed}") for seed in (1, 2)]
+    same = named.groupBy("key").agg(F.count("*").alias("n"), *hashes).groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    return work.save(named.join(same.select("key"), "key", "left_semi"), "once")
