@@ -18,7 +18,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import Workspace
+from glyphmill.llm.shared import Workspace, running
 
 #: Cells a table of the fingerprint; rounds of peeling; sketches that are tried at most, each of twice the cells.
 BASE, ROUNDS, TRIES = 8, 64, 24
@@ -141,15 +141,11 @@ def differences(pairs: DataFrame, left: str, right: str, column: str = "near") -
 
 def _followers(documents: DataFrame, work: Workspace) -> DataFrame:
     """(doc_id, next_id): the next smaller id, after the smallest the largest. Ids are numbered by a distributed sort."""
-    ids = documents.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id")
-    ids = work.save(ids.withColumn("m", F.monotonically_increasing_id()), "ids")
-    placed = ids.select("doc_id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    # one row for each task of the sort
-    bases = counts.selectExpr("part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base", "sum(n) OVER () AS total")
-    ranked = placed.join(F.broadcast(bases), "part").selectExpr("doc_id", "base + at AS rank", "total")
-    before = ranked.selectExpr("doc_id", "if(rank = 0, total - 1, rank - 1) AS rank")
-    return before.join(ranked.selectExpr("doc_id AS next_id", "rank"), "rank").select("doc_id", "next_id")
+    ids = documents.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    ranked = running(ids, work, "ids", [F.col("doc_id")], {})
+    total = ranked.agg(F.count("*").alias("total"))  # one row
+    before = ranked.crossJoin(F.broadcast(total)).selectExpr("doc_id", "if(place = 0, total - 1, place - 1) AS place")
+    return before.join(ranked.selectExpr("doc_id AS next_id", "place"), "place").select("doc_id", "next_id")
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:

@@ -5,38 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import Workspace, running
+
 WEIGHTS, MOST = (5, 2, 1), 3
 #: A table of sources up to this size is broadcast (about 100 bytes a row); a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 _SIZE = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 
-def source_rates(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def source_rates(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, work: Workspace | None = None) -> DataFrame:
     """(source, source_size, target, rate) of every source.
 
     Sources by code point, null last, take the weights in turn and share 100 % of all sizes; none has
     more than ``most`` times its own size, and what it can't take goes to the others by weight. With
     sources in the order of most * size / weight, those capped are a prefix of it: with C the caps before
     a source and W the weights from it on, it is the first for which weight * (total - C) / W is within
-    its cap. The windows run over one row per source, which the aggregation has made before.
+    its cap. Places and sums before a source come from distributed sorts, so sources may be many.
     """
+    work = work or Workspace(documents.sparkSession, "mix")
     sizes = documents.groupBy("source").agg(F.sum(F.expr(_SIZE)).cast("long").alias("source_size"))
-    spark, turn = documents.sparkSession, "CASE " + " ".join(f"WHEN i = {k} THEN {w}" for k, w in enumerate(weights)) + " END"
-    return spark.sql(
-        f"""
-        WITH placed AS (SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM {{sizes}}),
-        weighed AS (SELECT *, CAST({turn} AS BIGINT) AS weight, {most} * source_size AS cap FROM (SELECT *, place % {len(weights)} AS i FROM placed)),
-        summed AS (
-            SELECT *, sum(source_size) OVER () AS total,
-                   coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-                   sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
-                   row_number() OVER (ORDER BY cap / weight, place) AS step FROM weighed),
-        level AS (SELECT min(struct(step, CAST(total - before AS DOUBLE) / rest AS share)) AS free FROM summed
-                  WHERE weight * (CAST(total - before AS DOUBLE) / rest) <= cap)
-        SELECT source, source_size, CASE WHEN step < coalesce(free.step, step + 1) THEN CAST(cap AS DOUBLE) ELSE weight * free.share END AS target
-        FROM summed CROSS JOIN level""",
-        sizes=sizes,
-    ).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    placed = running(sizes, work, "placed", [F.col("source").isNull(), F.col("source")], {})
+    turn = "CASE " + " ".join(f"WHEN place % {len(weights)} = {k} THEN {w}" for k, w in enumerate(weights)) + " END"
+    weighed = placed.selectExpr("source", "source_size", "place", f"CAST({turn} AS BIGINT) AS weight", f"{most} * source_size AS cap")
+    summed = running(weighed.withColumnRenamed("place", "first"), work, "summed", [F.col("cap") / F.col("weight"), F.col("first")], {"before": "cap", "lighter": "weight"})
+    whole = summed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all"))
+    share = F.expr("CAST(total - before AS DOUBLE) / (all - lighter)")
+    summed = work.save(summed.crossJoin(F.broadcast(whole)).withColumn("share", share), "shares")  # one row of totals
+    free = summed.where("weight * share <= cap").agg(F.min(F.struct("place", "share")).alias("free"))
+    target = F.expr("CASE WHEN free IS NULL OR place < free.place THEN CAST(cap AS DOUBLE) ELSE weight * free.share END")
+    rates = summed.crossJoin(F.broadcast(free)).select("source", "source_size", target.alias("target"))
+    return rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
 def with_copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
@@ -47,9 +45,10 @@ def with_copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     text has size 0. A source without words has rate 0. Names that clash with documents' own columns
     replace those.
     """
-    rates = source_rates(documents, weights, most)
+    work = Workspace(documents.sparkSession, "mix")
+    rates = source_rates(documents, weights, most, work)
     key = [F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source")]
-    rates = rates.select(*key, "source_size", "target", "rate").persist()
+    rates = work.save(rates.select(*key, "source_size", "target", "rate"), "rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     plain = documents.drop("size", "source_size", "target", "rate", "copies", "_none", "_source")

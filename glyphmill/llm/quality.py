@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.arrays import released
 from glyphmill.llm.toxicity import held_out, labelled_sample
 
 #: Training takes at most so many labelled texts of either class, those with the least hash of their id.
@@ -214,6 +215,7 @@ def with_scores(documents: DataFrame, model: Model, column: str = "score") -> Da
     found = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @released
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             x = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -76,6 +77,23 @@ def complete_tables(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getName() for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
 
 
+def running(frame: DataFrame, work: Workspace, name: str, order: list, sums: dict[str, str]) -> DataFrame:
+    """The rows with ``place``, their number from 0 in an order, and under each key of ``sums`` the sum of that column over the rows before.
+
+    Rows are sorted over all tasks and written; sums inside a task's rows are added to those of the tasks
+    before, of which there is a row each. The order must leave no ties.
+    """
+    rows = work.save(frame.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_m", 33))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    earlier = before(Window.orderBy("_part"))
+    bases = totals.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *(f"_{k}" for k in sums))))
+    own = before(Window.partitionBy("_part").orderBy("_m"))
+    place = (F.col("_n") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("place")
+    made = [(F.col(f"_{k}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(k) for k, c in sums.items()]
+    return rows.join(F.broadcast(bases), "_part").select(*frame.columns, place, *made)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import U, mix, stream
+from glyphmill.llm.arrays import U, mix, released, stream
 
 ORDERS, BITS = (4, 5, 6), 22
 #: Training takes at most so many labelled texts of each class, those with the least hash of their id.
 POSITIVE, NEGATIVE = 2500, 5000
+#: ... and of these, in the same order, as many as have so many bytes together (one at least).
+SAMPLE_BYTES = 64 << 20
 CELLS, RIDGE = 4000, 0.3
 _SALTS = stream(11, 8)
 _OTHER = np.array([not chr(i).isalnum() for i in range(128)] + [False])
@@ -152,7 +154,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
     """Texts and labels to learn from: not held out, at most most[y] of each class, by least hash of the id.
 
     A document with several labels counts once, with the largest; null labels and texts are left out.
-    ``derive``, a Column of the text, replaces it before it leaves the executors.
+    ``derive``, a Column of the text with values of a fixed size, replaces it before it leaves the
+    executors. Texts themselves come to the driver up to SAMPLE_BYTES. ``share`` is that of a row's
+    class which this bound leaves.
     """
     y = learnable(labels, label).withColumn("h", F.xxhash64(F.lit("train"), "doc_id"))
     chosen = None
@@ -161,7 +165,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.select("h", "y", F.xxhash64("text").alias("t"), F.col("text") if derive is None else derive.alias("text"))
-    return texts.toPandas().sort_values(["h", "t"], kind="stable")
+    if derive is not None:
+        return texts.toPandas().sort_values(["h", "t"], kind="stable").assign(share=1.0)
+    sizes = texts.select("h", "y", "t", F.octet_length("text").alias("n")).toPandas().sort_values(["h", "t"], kind="stable")
+    kept = max(1, int(np.searchsorted(sizes["n"].cumsum().to_numpy(), SAMPLE_BYTES, "right")))
+    if kept < len(sizes):
+        last = sizes.iloc[kept - 1]
+        texts = texts.where(F.struct("h", "t") <= F.struct(F.lit(int(last["h"])), F.lit(int(last["t"]))))
+    rows = texts.toPandas().sort_values(["h", "t"], kind="stable")
+    before, after = sizes["y"].value_counts(), rows["y"].value_counts()
+    return rows.assign(share=[float(after[v] / before[v]) for v in rows["y"]])
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -174,7 +187,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     rows = labelled_sample(documents, labels, "toxic", most)
     y = rows["y"].to_numpy()
     counts = {r["y"]: r["count"] for r in learnable(labels, "toxic").groupBy("y").count().collect()}
-    weight = np.array([max(1.0, counts[v] / most[v]) for v in y.tolist()])
+    weight = np.array([max(1.0, counts[v] / most[v]) / share for v, share in zip(y.tolist(), rows["share"].tolist(), strict=True)])
     return fit(rows["text"].tolist(), y, weight / weight.mean() if len(y) else weight)
 
 
@@ -184,6 +197,7 @@ def with_scores(documents: DataFrame, model: Model, column: str = "score") -> Da
     tables: dict[int, np.ndarray] = {}
 
     @F.pandas_udf("double")
+    @released
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = found.value
         table = tables.setdefault(0, own.table()) if not tables else tables[0]

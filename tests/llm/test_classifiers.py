@@ -1,3 +1,5 @@
+import bisect
+import math
 import zlib
 
 import numpy as np
@@ -63,6 +65,68 @@ def test_bounded_sample_keeps_the_class_shares(spark, monkeypatch):
     assert len(grey) == len(plain) == 1 and 0.15 < min(grey) < 0.4 and max(plain) < 0.05
 
 
+def slow_cells(text):
+    """The n-grams' cells in whole numbers, one by one."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 33
+
+    salt = mixed(mixed((0x9E3779B97F4A7C15 + 11) & mask))
+    chars, out = [], set()
+    for c in f" {text.lower()} ":
+        c = " " if ord(c) < 128 and not c.isalnum() else c
+        if not (c == " " and chars and chars[-1] == " "):
+            chars.append(c)
+    for n in toxicity.ORDERS:
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + mixed(ord(c) + salt & mask)) & mask
+            out.add(mixed(h) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model.cells.tolist(), model.weights.tolist()))
+    for r in toxicity.with_scores(docs.where("length(text) < 3000"), model).collect():
+        logit = model.bias + sum(weights.get(c, 0.0) for c in slow_cells(r.text or ""))
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-6
+
+
+def test_quality_scores_by_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    for r in quality.with_scores(docs, model).collect():
+        x = quality.features(r.text)
+        logit = model.bias + sum(t[bisect.bisect_right(e.tolist(), v)] for v, e, t in zip(x, model.edges, model.tables))
+        logit += sum(t[bisect.bisect_right(model.coarse[i].tolist(), x[i]), bisect.bisect_right(model.coarse[j].tolist(), x[j])] for i, j, t in model.pairs)
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-9
+        words = (r.text or "").split()
+        if words:
+            own = dict(zip(quality.FEATURES, x))
+            assert own["mean_word"] == sum(map(len, words)) / len(words) and own["digits"] == sum(c in "0123456789" for c in r.text) / len(r.text)
+            assert own["distinct_words"] == len({w.lower() for w in words}) / len(words) and own["pipes"] == r.text.count("|") / len(words)
+
+
+def test_texts_to_learn_from_are_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * 1000) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    whole = toxicity.labelled_sample(docs, labels, "toxic", {1: 1000, 0: 1000})
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 50_000)
+    rows = toxicity.labelled_sample(docs, labels, "toxic", {1: 1000, 0: 1000})
+    assert 45 <= len(rows) < 50 < len(whole) and rows["text"].tolist() == whole["text"].tolist()[: len(rows)]
+    for y in (0, 1):
+        assert abs((rows["y"] == y).sum() - rows[rows["y"] == y]["share"].iloc[0] * (whole["y"] == y).sum()) < 1e-9
+    assert set(whole["share"]) == {1.0}
+
+
 def test_lookup_tables_learn_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((4000, 4))
