@@ -39,26 +39,54 @@ def scalar(function: Callable, kind: str, *columns: Column | str) -> Column:
     return run(*columns)
 
 
+#: Rows that are handed on together at most.
+ROWS = 2048
+
+
 def exploded(frame: DataFrame, function: Callable[..., Iterable[dict]], schema: str, *columns: str) -> DataFrame:
     """The rows with the columns of each dict that function yields for them; a row that yields none goes.
 
-    Catalyst keeps charge of everything around: the function is one array column that is exploded.
+    What function yields is handed on every ROWS rows, so a row may have any number of results.
     """
-
-    @F.pandas_udf(f"array<struct<{schema}>>")
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([list(function(*row)) for row in zip(*series, strict=True)], dtype=object)
-
-    return frame.withColumn("_row", F.explode(run(*columns))).select(*frame.columns, "_row.*")
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T.StructType.fromDDL(schema)
+    kinds = to_arrow_schema(added)
+    whole = T.StructType([*frame.schema.fields, *added.fields])
+    places = [frame.columns.index(c) for c in columns]
+
+    def run(batches: Iterable) -> Iterable:
+        for batch in batches:
+            index, rows = [], []
+
+            def done():
+                old = batch.take(pa.array(index, pa.int64()))
+                new = [pa.array([r.get(f.name) for r in rows], f.type) for f in kinds]
+                return pa.RecordBatch.from_arrays([*old.columns, *new], names=whole.names)
+
+            inputs = [batch.column(i).to_pylist() for i in places]
+            for i, row in enumerate(zip(*inputs, strict=True)):
+                for found in function(*row):
+                    index.append(i)
+                    rows.append(found)
+                    if len(rows) == ROWS:
+                        yield done()
+                        index, rows = [], []
+            if rows:
+                yield done()
+
+    return frame.mapInArrow(run, whole)
 
 
 def found_ranges(frame: DataFrame, text: str, part: str) -> DataFrame:
     """One row per non-overlapping occurrence of a literal in a text: closed range start, end (code points)."""
-
-    def run(value: str | None):
-        at = (value or "").find(part) if part else -1
-        while at >= 0:
-            yield {"start": at, "end": at + len(part) - 1}
-            at = value.find(part, at + len(part))
-
-    return exploded(frame, run, "start int, end int", text)
+    if not part:
+        return frame.select(*frame.columns, F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+    pieces = F.split(F.coalesce(F.col(text), F.lit("")), "\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    before = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda s, n: F.struct((s["at"] + n + len(part)).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
+    starts = F.aggregate(before, start, step, lambda s: s["all"])
+    return frame.select(*frame.columns, F.explode(starts).alias("start")).withColumn("end", F.col("start") + (len(part) - 1))

@@ -123,18 +123,22 @@ def translate_chunk(texts: list[str], fmt: str, terms: dict[str, str], model: Mo
 def translate(pool: DataFrame, model: Model, terms: dict[str, str] | None = None, budget: int = 2048, retries: int = RETRIES) -> DataFrame:
     """(format, source, target, status) of a pool(format, text): chunks by budget, each sent to the model as one message.
 
-    Terms are frozen, so chunks run in parallel; :func:`translate_in_turn` passes on learnt terms.
+    Terms are frozen, so chunks run in parallel; :func:`translate_in_turn` passes on learnt terms. A format's
+    texts are dealt out by hash to as many parts as a shuffle has, and chunked in each of these.
     """
     fixed = dict(terms or {})
-    chunks = greedy_chunks(pool, "format", "text", budget=budget)
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pool.select(F.concat("format", F.lit("|"), F.pmod(F.xxhash64("text"), F.lit(parts))).alias("format"), "text")
+    chunks = greedy_chunks(dealt, "format", "text", budget=budget)
 
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         at = None
 
         def send():
-            rows, _ = translate_chunk([t for _, t in held], at[0], fixed, model, retries)
-            return pd.DataFrame([(at[0], *r) for r in rows], columns=["format", "source", "target", "status"])
+            fmt = at[0].rpartition("|")[0]
+            rows, _ = translate_chunk([t for _, t in held], fmt, fixed, model, retries)
+            return pd.DataFrame([(fmt, *r) for r in rows], columns=["format", "source", "target", "status"])
 
         for part in groups:
             for f, t, c in zip(part["format"], part["text"], part["chunk"], strict=True):

@@ -446,15 +446,16 @@ def component_flags(spark, sf):
 # --- rules and the model's protocol -----------------------------------------------------------------
 
 
-@query("""SELECT DISTINCT concat('{"text":"', p_name, '"}') AS source, CASE WHEN p_name LIKE '% ring' THEN concat('{"text":"', replace(p_name, ' ring', ' Ring'), '"}') END AS target FROM part
-UNION ALL SELECT DISTINCT concat(p_name, ' raw (x)'), CASE WHEN p_name LIKE '% ring' THEN concat(p_name, ' done') END FROM part""")
+@query("""WITH b AS (SELECT DISTINCT p_brand, substring(p_brand, 7) AS n FROM part) SELECT concat('{"text":"', p_brand, '"}') AS source, CASE WHEN CAST(n AS INT) % 2 = 0 THEN concat('{"text":"Mark ', n, '"}') END AS target FROM b
+UNION ALL SELECT concat(p_brand, ' raw (x)'), CASE WHEN CAST(n AS INT) % 2 = 0 THEN concat(n, ' done') END FROM b""")
 def mtlx_translate(spark, sf):
+    """A rule book for the brands of even numbers, by component and by raw text."""
     part = _t(spark, sf, "part")
-    names = [r.p_name for r in part.select("p_name").where("p_name LIKE '% ring'").distinct().orderBy("p_name").collect()]  # a rule book is a small file
-    body = "\n".join(f"|{n}| ==> |{n.replace(' ring', ' Ring')}|" for n in names)
-    raw = "\n".join(f"|{n} raw (x)| ==> |{n} done|" for n in names)
+    numbers = range(0, 100, 2)
+    body = "\n".join(f"|Brand#{n}| ==> |Mark {n}|" for n in numbers)
+    raw = "\n".join(f"|Brand#{n} raw (x)| ==> |{n} done|" for n in numbers)
     book = rules.RuleBook.read(f"---mtl---\n{body}\n---raw---\n{raw}\n")
-    texts = part.select(F.concat(F.lit('{"text":"'), "p_name", F.lit('"}')).alias("text")).unionByName(part.select(F.concat("p_name", F.lit(" raw (x)")).alias("text"))).distinct()
+    texts = part.select(F.concat(F.lit('{"text":"'), "p_brand", F.lit('"}')).alias("text")).unionByName(part.select(F.concat("p_brand", F.lit(" raw (x)")).alias("text"))).distinct()
     return translation.by_rules(texts, book)
 
 
