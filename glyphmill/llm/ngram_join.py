@@ -30,6 +30,8 @@ from glyphmill.llm.shared import Workspace, partitions
 EVERY = 8
 #: A key held by so many of at most SAMPLE sampled documents is heavy.
 HEAVY, SAMPLE = 48, 8000
+#: A heavy key's documents are dealt out to so many groups.
+SPREAD = 100
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Larger open buckets are compared in pairs of blocks of about so many documents.
@@ -190,9 +192,10 @@ def plausible(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 @released
 def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id) rows. Equal sets met again in the same task emit nothing: their digest links them.
+    """(key, salt, doc_id) rows. Equal sets met again in the same task emit nothing: their digest links them.
 
-    Rows with a null id emit nothing and stand for no set, as no digest links them.
+    Rows with a null id emit nothing and stand for no set, as no digest links them. A heavy key, where it is
+    emitted all the same, has a salt from 1 on by its document, so that it is dealt out to many tasks.
     """
     seen: set[tuple[int, int]] = set()
     for batch in batches:
@@ -207,39 +210,44 @@ def signatures(scheme: Scheme, heavy: np.ndarray, batches: Iterator[pa.RecordBat
             kept = np.repeat(fresh, size)
             tokens, first = tokens[kept], np.concatenate([[0], np.cumsum(size * fresh)])
             rows, keys = _keys(tokens, first, scheme, heavy)
-            yield pa.RecordBatch.from_arrays([_long(keys), ids.take(pa.array(rows))], ["key", "doc_id"])
+            ids = ids.take(pa.array(rows))
+            salt = np.zeros(len(keys), np.int8)
+            hot = np.flatnonzero(np.isin(keys, heavy))
+            salt[hot] = 1 + (mix(np.asarray(ids.take(pa.array(hot))).astype(np.int64).view(U)) % U(SPREAD)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([_long(keys), pa.array(salt), ids], ["key", "salt", "doc_id"])
 
 
 @released
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, doc_id) sorted by both: (key, least, doc_id) of the keys that several documents hold.
+    """From (key, salt, doc_id) sorted by all: (key, salt, least, doc_id) of the keys that several documents hold.
 
-    A batch at a time; a key that runs on into the next batch keeps only its key and least document.
+    A batch at a time; a key that runs on into the next batch keeps only its key, salt and least document.
+    Of salted keys all rows stay, as other salts may hold the other documents.
     """
-    key, least, held = None, None, None  # of the last row; held: that row, as long as it's its key's only one
+    at, least, held = None, None, None  # key and salt of the last row; held: that row, as long as it's its key's only one
     for batch in batches:
-        keys, docs = (np.asarray(batch.column(c)) for c in ("key", "doc_id"))
+        keys, salts, docs = (np.asarray(batch.column(c)) for c in ("key", "salt", "doc_id"))
         if not len(keys):
             continue
-        new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+        new = np.concatenate([[at is None or (keys[0], salts[0]) != at], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])])
         group = np.cumsum(new)  # 0: goes on from the batch before
         starts = np.flatnonzero(new)
         leasts = np.concatenate([[least if least is not None else 0], docs[starts]])[group]
         counts = np.bincount(group, minlength=len(starts) + 1)
-        single = counts[group] == 1
+        single = (counts[group] == 1) & (salts == 0)
         single[group == 0] = False
         last_single = bool(single[-1])
         keep = ~single
-        out = [keys[keep], leasts[keep], docs[keep]]
+        out = [keys[keep], salts[keep], leasts[keep], docs[keep]]
         if not new[0] and held is not None:
-            out = [np.concatenate([[x], y]) for x, y in zip((key, least, least), out, strict=True)]
+            out = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*at, least, least), out, strict=True)]
         if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "least", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "salt", "least", "doc_id"])
         if len(starts):
             held = True if last_single else None
         else:
             held = None
-        key, least = int(keys[-1]), int(leasts[-1])
+        at, least = (int(keys[-1]), int(salts[-1])), int(leasts[-1])
 
 
 @released
@@ -358,7 +366,7 @@ def _heavy(docs: DataFrame, scheme: Scheme) -> np.ndarray:
     every = max(1, -(-total // SAMPLE))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     none = np.zeros(0, U)
-    rows = sample.mapInArrow(lambda x: signatures(scheme, none, x), "key long, doc_id long")
+    rows = sample.mapInArrow(lambda x: signatures(scheme, none, x), "key long, salt byte, doc_id long")
     found = rows.groupBy("key").count().where(F.col("count") >= HEAVY).select("key").toArrow()
     return np.sort(found.column("key").to_numpy().view(U)) if found.num_rows else none
 
@@ -385,9 +393,14 @@ def similar_groups(documents: DataFrame, n: int = 5, p: int = 4, q: int = 5) ->
     equal = work.save(equal, "equal")
 
     heavy = _heavy(docs, scheme)
-    rows = docs.mapInArrow(lambda x: signatures(scheme, heavy, x), "key long, doc_id long")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id")
-    buckets = work.save(rows.mapInArrow(shared_buckets, "key long, least long, doc_id long"), "buckets")
+    rows = docs.mapInArrow(lambda x: signatures(scheme, heavy, x), "key long, salt byte, doc_id long")
+    rows = rows.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
+    buckets = work.save(rows.mapInArrow(shared_buckets, "key long, salt byte, least long, doc_id long"), "buckets")
+    if len(heavy):
+        # one least document for all salts of a key; heavy keys are bounded in number by the sample
+        whole = work.save(buckets.where("salt > 0").groupBy("key").agg(F.min("least").alias("whole"), F.max("doc_id").alias("most")), "whole")
+        buckets = buckets.join(F.broadcast(whole), "key", "left").where("salt = 0 OR whole < most").withColumn("least", F.coalesce("whole", "least"))
+    buckets = buckets.select("key", "least", "doc_id")
 
     # each document against the least partner of all its buckets, then what the links found so far leave open
     first = buckets.where("doc_id <> least").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
