@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as fx
 from glyphmill.functions.udfs import exploded, scalar
-from glyphmill.operators import batches, translation
-from glyphmill.parse import component, njson, regex, rules, textmodel
+from glyphmill.operators import batches, extraction, translation
+from glyphmill.parse import backfill, component, extract, njson, regex, rules, textmodel
 from glyphmill.plans import catalog
-from glyphmill.plans.patterns import first_match
+from glyphmill.plans.patterns import CommandPattern, Condition, RegexPattern, first_match
 from glyphmill.queries import _spans, _t, query
 
 
@@ -309,3 +309,54 @@ def translate_untranslated(spark, sf):
     return translation.translate(texts, model, budget=64).select("source", "target")
 
 
+
+
+# --- own patterns -----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 26 ELSE 5 END AS INT) AS "start", CASE p_partkey % 4 WHEN 2 THEN concat('"', p_name, '"') WHEN 0 THEN p_type ELSE concat('"', p_name, '"') END AS content,
+    CASE p_partkey % 4 WHEN 1 THEN 'DoubleQuoteString' WHEN 2 THEN 'DoubleQuoteString' END AS syntax, CASE p_partkey % 4 WHEN 1 THEN 'json_str' WHEN 2 THEN 'snbt_str' ELSE 'plain_str' END AS format FROM part
+    WHERE p_partkey % 4 <> 3 OR length(p_name) % 2 = 0"""
+)
+def selection_kinds(spark, sf):
+    """Arguments taken whole, with a given format, as block states, and under a condition in Python."""
+    own = catalog.builtin().with_custom(command=[
+        CommandPattern("one", select={1: "plain_entire"}), CommandPattern("two", select={1: {"type": "with_info", "format": "json_str", "syntax": "DoubleQuoteString"}}),
+        CommandPattern("three", select={1: "block_state"}), CommandPattern("four", select={1: None}, post=Condition("matches", call=lambda command, arg: len(arg) % 2 == 0)),
+    ])
+    line = """CASE p_partkey % 4 WHEN 0 THEN concat('one ', p_type, ' x') WHEN 1 THEN concat('two "', p_name, '"') WHEN 2 THEN concat('three a:b[c=d]{CustomName:"', p_name, '"}') ELSE concat('four "', p_name, '"') END AS line"""
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", line)
+    return extraction.command_spans(rows, "line", own).select("p_partkey", "start", "content", "syntax", "format")
+
+
+@query("SELECT p_partkey, CAST(i AS INT) AS ordinal, CASE i WHEN 0 THEN concat('x ', p_type) ELSE p_type END AS content, CASE i WHEN 1 THEN 'DoubleQuoteString' END AS syntax FROM part, (VALUES (0), (1)) v(i)")
+def regex_patterns(spark, sf):
+    """Groups of a regular expression over the whole text come after the commands' texts."""
+    own = catalog.builtin().with_custom(regexes=[RegexPattern.from_json({"regex": r"x (\w+)", "groups": {"1": {"syntax": "DoubleQuoteString"}}})])
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "concat('say x ', p_type) AS line")
+    return extraction.command_spans(rows, "line", own).select("p_partkey", "ordinal", "content", "syntax")
+
+
+@query("SELECT p_partkey, '>#display>#Name' AS pointer, p_name AS content FROM part UNION ALL SELECT p_partkey, '>#list>1', concat('{text:\"', p_type, '\"}') FROM part")
+def snbt_texts(spark, sf):
+    """Texts of an SNBT tree with all filters off: strings, and whole components."""
+
+    def run(text: str):
+        tree = component.read_snbt(text)
+        for f in extract.tree_texts(tree, None, "nbt_obj", catalog.builtin()):
+            yield {"pointer": f.pointer, "content": f.content}
+
+    rows = _t(spark, sf, "part").selectExpr("p_partkey", "concat('{display:{Name:\"', p_name, '\"},list:[{a:1b},{text:\"', p_type, '\"}],n:', p_size, '}') AS t")
+    return exploded(rows, run, "pointer string, content string", "t").drop("t")
+
+
+@query("SELECT l_orderkey, l_linenumber, concat('say ', l_returnflag, 'X and ', l_linestatus) AS filled FROM lineitem")
+def replaced_by_position(spark, sf):
+    """The second of three spans replaced by its place in the list."""
+
+    def run(flag: str, status: str) -> str:
+        slices = [extract.Slice(4, 5, flag, None, "plain_str"), extract.Slice(5, 6, "-", None, "plain_str"), extract.Slice(11, 12, status, None, "plain_str")]
+        return backfill.replaced_commands(f"say {flag}- and {status}", slices, backfill.by_ordinal({1: "X"}))
+
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scalar(run, "string", "l_returnflag", "l_linestatus").alias("filled"))
