@@ -8,6 +8,9 @@ a batch is written as a run, merge-joined with the runs before it bucket by buck
 history), and older runs are compacted into one. Fingerprints that several documents hold are only
 candidates: the windows behind them are read again from the texts and verified as whole word
 sequences by two independent 64-bit hashes.
+
+Fingerprints that very many documents hold (as a bounded sample tells) are hot. They count as shared
+without a join, and their rows are keyed by document, so that they spread over all buckets.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import U, Hasher, Words, chunks, released, text_bytes, windows, words_of
+from glyphmill.llm.arrays import U, Hasher, Words, chunks, mix, released, text_bytes, windows, words_of
 from glyphmill.llm.ngram_join import BROADCAST_IDS
 from glyphmill.llm.shared import Workspace, complete_tables, delete, partitions
 
@@ -30,6 +33,8 @@ WINDOW, GRAM = 13, 7
 FAN_IN = 2
 #: Bytes of cuts that are broadcast; more are joined by a shuffle.
 BROADCAST_CUTS = 48 << 20
+#: A fingerprint that so many of at most SAMPLE sampled documents of a batch hold is hot; an index knows at most HOT of them.
+HEAVY, SAMPLE, HOT = 48, 8000, 1 << 20
 _HASHERS = (Hasher(21), Hasher(22))
 
 
@@ -41,7 +46,7 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
 
 
 def _fingerprints(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The fingerprint of the window at each start (word numbers)."""
+    """The fingerprint of the window at each start (word numbers); it is even."""
     if not len(start):
         return np.zeros(0, U)
     size = len(hashes) - GRAM + 1
@@ -49,7 +54,7 @@ def _fingerprints(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     least = grams[start].copy()
     for j in range(1, WINDOW - GRAM + 1):
         np.minimum(least, grams[start + j], out=least)
-    return least
+    return least & ~U(1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -67,15 +72,26 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @released
-def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id) for every change of fingerprint along a document."""
+def fingerprint_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc_id) for every change of fingerprint along a document.
+
+    In place of one of the ``hot`` fingerprints h is odd and holds its number there below bits of the
+    document's hash.
+    """
+    order = np.argsort(hot)
+    ranked = hot[order]
     for batch in batches:
         for a, b, words, hashes in _batches(batch.column("text")):
             start, doc = windows(words, WINDOW)
             h = _fingerprints(hashes, start)
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(h[new]), batch.column("doc_id").slice(a, b - a).take(pa.array(doc[new]))], ["h", "doc_id"])
+            h, ids = h[new], batch.column("doc_id").slice(a, b - a).take(pa.array(doc[new]))
+            if len(hot):
+                at = np.minimum(np.searchsorted(ranked, h), len(hot) - 1)
+                known = ranked[at] == h
+                h[known] = mix(np.asarray(ids).view(U)[known]) << U(21) | order[at[known]].astype(U) << U(1) | U(1)
+            yield pa.RecordBatch.from_arrays([_signed(h), ids], ["h", "doc_id"])
 
 
 @released
@@ -150,6 +166,11 @@ class FingerprintIndex:
         for run in self.runs:
             spark.sql(f"CREATE TABLE {self._table(run)} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h, doc_id) INTO {run[2]} BUCKETS LOCATION '{self._path(run)}'")
         self.buckets = buckets or (self.runs[-1][2] if self.runs else partitions(spark))
+        self.hot = np.zeros(0, U)
+        parts = sorted((int(name.split("-")[1]), name) for name in complete_tables(spark, root) if name.startswith("hot-"))
+        for _, name in parts:
+            rows = spark.read.schema("number long, h long").parquet(f"{root}/{name}").orderBy("number").toArrow()  # HOT at most
+            self.hot = np.concatenate([self.hot, rows.column("h").to_numpy().view(U)])
 
     def _path(self, run: tuple[int, int, int]) -> str:
         return f"{self.root}/run-{run[0]}-{run[1]}-{run[2]}"
@@ -175,25 +196,52 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
                 delete(self.spark, self._path(run))
 
+    def _learn(self, docs: DataFrame, number: int) -> None:
+        """Add the hot fingerprints of a batch to those known. They are only a way to deal rows out, so a sample will do."""
+        every = max(1, -(-docs.count() // SAMPLE))
+        sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+        none = np.zeros(0, U)
+        rows = sample.mapInArrow(lambda x: fingerprint_rows(none, x), "h long, doc_id long").distinct()
+        found = rows.groupBy("h").count().where(F.col("count") >= HEAVY).select("h").toArrow().column("h").to_numpy().view(U)
+        fresh = np.setdiff1d(found, self.hot)[: HOT - len(self.hot)]
+        if len(fresh):
+            table = pa.table({"number": np.arange(len(self.hot), len(self.hot) + len(fresh)), "h": fresh.view(np.int64)})
+            self.spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/hot-{number}")
+            self.hot = np.concatenate([self.hot, fresh])
+
     def candidates(self, docs: DataFrame, work: Workspace) -> DataFrame:
-        """Add a batch; (h, doc_id) of the fingerprints it shares among its documents or with history, from either side."""
+        """Add a batch; (h, doc_id) of the fingerprints it shares among its documents or with history, from either side.
+
+        All rows of hot fingerprints that the batch holds are among these.
+        """
         if len(self.runs) >= FAN_IN:
             self.compact()
         number = self.runs[-1][1] + 1 if self.runs else 1
-        new = self._write(docs.mapInArrow(fingerprint_rows, "h long, doc_id long"), number, number)
-        batch = self.spark.table(self._table(new))
+        self._learn(docs, number)
+        hot = self.hot
+        new = self._write(docs.mapInArrow(lambda x: fingerprint_rows(hot, x), "h long, doc_id long"), number, number)
+        tables = [self.spark.table(self._table(run)) for run in [new, *self.runs]]
+        batch, old = tables[0].where("h & 1 = 0"), [x.where("h & 1 = 0") for x in tables[1:]]
         ends = batch.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
         keys = ends.where("x < y").select("h")
-        old = [self.spark.table(self._table(run)) for run in self.runs]
         for run in old:
             keys = keys.unionByName(ends.join(run, "h", "left_semi").select("h"))
+        spread = None
+        if len(hot):
+            of = F.shiftright("h", 1).bitwiseAND(HOT - 1).alias("number")
+            known = self.spark.createDataFrame(pa.table({"number": np.arange(len(hot)), "whole": hot.view(np.int64)}))
+            here = work.save(known.join(F.broadcast(tables[0].where("h & 1 = 1").select(of).distinct()), "number", "left_semi"), f"hot-{number}")
+            keys = keys.unionByName(here.select(F.col("whole").alias("h")))  # as rows of runs from before they were hot
+            spread = [x.where("h & 1 = 1").select(of, "doc_id").join(F.broadcast(here), "number").select(F.col("whole").alias("h"), "doc_id") for x in tables]
         keys = work.save(keys.distinct(), f"keys-{number}")
         found = batch.join(keys, "h", "left_semi").distinct()
         for run in old:
             found = found.unionByName(run.join(keys, "h", "left_semi").distinct())
+        for rows in spread or ():
+            found = found.unionByName(rows.distinct())
         self.runs.append(new)
         found = work.save(found, f"found-{number}")
-        work.drop(f"keys-{number}")
+        work.drop(f"keys-{number}", f"hot-{number}")
         return found
 
     def add(self, docs: DataFrame, history: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 import numpy as np
 
+from glyphmill.llm import substring_dedup
 from glyphmill.llm.queries import QUERIES
 from glyphmill.llm.shared import complete_tables
 from glyphmill.llm.substring_dedup import FingerprintIndex, cut_repeats
@@ -51,8 +52,9 @@ def corpus(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "batches"), [(1, 3), (2, 6), (3, 1)])
-def test_against_brute_force(spark, seed, batches):
+@pytest.mark.parametrize(("seed", "batches", "heavy"), [(1, 3, 48), (2, 5, 6), (3, 1, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, batches, heavy):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     rows = corpus(seed) + [(None, corpus(seed)[5][1]), (33, "x " * 30), (33, corpus(seed)[7][1]), (901, None), (902, "x " * 30)]
     docs = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id long, text string, n_words int, kept string").repartition(5)
     found = [tuple(r) for r in cut_repeats(docs, batches).collect()]
@@ -71,8 +73,10 @@ def test_no_rows(spark):
     assert cut_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_index_opens_again_and_takes_batches(spark, tmp_path):
+@pytest.mark.parametrize("heavy", [48, 4])
+def test_index_opens_again_and_takes_batches(spark, monkeypatch, tmp_path, heavy):
     """Each batch against all before it, each time through an index that is opened anew; one folder is left unfinished."""
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     rows, root = corpus(4, 120), str(tmp_path / "index")
     expected = {i: g for i, _, _, g in brute(rows)}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
@@ -86,7 +90,8 @@ def test_index_opens_again_and_takes_batches(spark, tmp_path):
             found[r.doc_id] = sum(int(e - s) for s, e in np.frombuffer(r.spans, "<i4").reshape(-1, 2))
         index.close()
     assert found == {i: g for i, g in expected.items() if g}
-    assert {x.split("-")[0] for x in complete_tables(spark, root)} == {"run"} and len(complete_tables(spark, root)) <= 2
+    left = complete_tables(spark, root)
+    assert sum(x.startswith("run-") for x in left) <= 2 and any(x.startswith("hot-") for x in left) == (heavy == 4)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
 
 
