@@ -10,7 +10,7 @@ import io
 import posixpath
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,16 +44,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def copy_folder(spark: SparkSession, source: str, target: str) -> None:
-    """Copy a folder between stores that Spark reads, a file at a time in buffers; files that are there are replaced."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    old_fs, new_fs = old.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileSystem.newInstance(new.toUri(), conf)
-    new_fs.setWriteChecksum(False)  # no checksum files beside those of a local folder, which later writers wouldn't renew
-    new_fs.mkdirs(new)
-    for child in old_fs.listStatus(old):
-        jvm.org.apache.hadoop.fs.FileUtil.copy(old_fs, child.getPath(), new_fs, new, False, True, conf)
-    new_fs.close()
+def copy_folder(spark: SparkSession, source: str, target: str) -> int:
+    """Copy all files below a folder, hidden ones too; how many. The driver lists their names, executors copy them in pieces; files that are there are replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found, names = fs.resolvePath(at).toUri().getPath().rstrip("/"), fs.listFiles(at, True), []
+    while found.hasNext():
+        names.append((found.next().getPath().toUri().getPath().removeprefix(base + "/"),))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (old, from_), (new, to) = _store(source), _store(target)
+        for part in parts:
+            for path in part["path"]:
+                with old.open_input_stream(f"{from_}/{path}") as content:
+                    _put(new, f"{to}/{path}", iter(lambda: content.read(1 << 20), b""))
+            yield part
+
+    paths = spark.createDataFrame(names, "path string")
+    return paths.repartition(max(1, min(len(names), 8 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "path string").count()
+
+
+def _store(root: str):
+    """Arrow's file system for a folder, and the folder's path there."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+    return store, base.rstrip("/")
+
+
+def _put(store, path: str, pieces: Iterable[bytes]) -> None:
+    """Write a file beside its place and move it there, so that a task that is run again does no harm."""
+    store.create_dir(posixpath.dirname(path), recursive=True)
+    with store.open_output_stream(path + "._tmp") as out:
+        for piece in pieces:
+            out.write(piece)
+    store.move(path + "._tmp", path)
 
 
 def data_version(spark: SparkSession, root: str) -> int | None:
@@ -435,18 +460,12 @@ def write_files(rows: DataFrame, root: str) -> int:
     """Write (path, content) rows below a folder that all executors reach by Arrow's file systems; the number of files. Rewriting a file is safe to repeat."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = _store(root)
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
                 if posixpath.normpath(path) != path or path.startswith(("/", "../")) or path == "..":
                     raise ValueError(f"{path} leads out of the folder")
-                to = f"{base.rstrip('/')}/{path}"
-                store.create_dir(posixpath.dirname(to), recursive=True)
-                with store.open_output_stream(to + "._tmp") as out:
-                    out.write(bytes(content))
-                store.move(to + "._tmp", to)
+                _put(store, f"{base}/{path}", [bytes(content)])
             yield part[["path"]]
 
     return rows.select("path", "content").mapInPandas(run, "path string").count()
