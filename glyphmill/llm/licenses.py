@@ -5,7 +5,7 @@ are put into classes by length; a class's windows are half as long again as its
 start every third of that, so a whole template lies in some window and its Jaccard similarity with it
 is bounded from below. Rows and bands are chosen for that bound, so that a window misses a template that
 it contains with a probability below MISS. A match is a window that holds at least CONTAINED of the
-template's distinct shingles; where matches of several templates lie on one another, the fullest counts.
+template's distinct shingles; of matches of several templates on the same shingles, the one that holds most counts.
 """
 
 from __future__ import annotations
@@ -142,30 +142,32 @@ class Scanner:
                     at = np.flatnonzero(np.isin(part, self.sets[i]))
                     held = len(np.unique(part[at]))
                     if len(at) and CONTAINED[1] * held >= CONTAINED[0] * len(self.sets[i]):
-                        found[i].append((s + int(at[0]), s + int(at[-1]) + SHINGLE, held / len(self.sets[i])))
+                        found[i].append((s + int(at[0]), s + int(at[-1]) + SHINGLE, held, frozenset((s + at).tolist())))
         out = []
         for i, spans in found.items():
-            spans.sort()
-            joined = [list(spans[0])]
-            for s, e, share in spans[1:]:
-                if s < joined[-1][1]:
-                    joined[-1][1:] = max(e, joined[-1][1]), max(share, joined[-1][2])
+            spans.sort(key=lambda x: x[:3])
+            joined = [spans[0]]
+            for s, e, held, at in spans[1:]:
+                first, last, most, own = joined[-1]
+                if s < last:
+                    joined[-1] = first, max(e, last), max(held, most), own | at
                 else:
-                    joined.append([s, e, share])
-            out += [(s, e, i, share) for s, e, share in joined]
-        return [(i, s, e) for s, e, i in _best(sorted(out))]
+                    joined.append((s, e, held, at))
+            out += [(s, e, i, held, at) for s, e, held, at in joined]
+        return [(i, s, e) for s, e, i in _best(sorted(out, key=lambda x: x[:4]))]
 
 
-def _best(matches: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
-    """Sorted (from, to, template, share) without those that a match with a larger share covers by half or more: licenses of one family hold most of each other."""
+def _best(matches: list[tuple[int, int, int, int, frozenset]]) -> list[tuple[int, int, int]]:
+    """Sorted (from, to, template, shingles held, their places) without those half of whose places are also
+    a match's that holds more: licenses of one family hold most of each other."""
     out, longest = [], max((e - s for s, e, *_ in matches), default=0)
-    for k, (s, e, i, share) in enumerate(matches):
+    for k, (s, e, i, held, at) in enumerate(matches):
         low = high = k
         while low and matches[low - 1][0] > s - longest:
             low -= 1
         while high < len(matches) and matches[high][0] < e:
             high += 1
-        if not any(other > share and 2 * (min(e, y) - max(s, x)) >= e - s for x, y, _, other in matches[low:high]):
+        if not any(other > held and 2 * len(at & places) >= len(at) for *_, other, places in matches[low:high]):
             out.append((s, e, i))
     return out
 
@@ -174,7 +176,8 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None)
     """(doc_id, n_matches, licenses, spans) of each whole text.
 
     licenses are the distinct template names by name, spans are name:from:to in words (punctuation alone
-    is no word), both comma-joined. Null, empty and clean texts have none. Templates travel with the task;
+    is no word), both comma-joined. Of two licenses of a family so close that a window holds both, the
+    fuller one counts. Null, empty and clean texts have none. Templates travel with the task;
     rows stand alone, so repeated rows and null ids come out as they are.
     """
     templates = TEMPLATES if templates is None else templates

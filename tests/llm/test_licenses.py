@@ -27,14 +27,14 @@ def brute(text, scanner):
             own, spans = {tuple(body[k : k + 5]) for k in range(len(body) - 4)}, []
             for s in range(0, len(shingles), level.stride):
                 hits = [k for k in range(s, min(len(shingles), s + level.window)) if shingles[k] in own]
-                share = len({shingles[k] for k in hits}) / len(own)
-                if share >= 0.8:
+                held = len({shingles[k] for k in hits})
+                if 5 * held >= 4 * len(own):
                     if spans and hits[0] < spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], hits[-1] + 5), max(share, spans[-1][2]))
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], hits[-1] + 5), max(held, spans[-1][2]), spans[-1][3] | set(hits))
                     else:
-                        spans.append((hits[0], hits[-1] + 5, share))
-            found += [(s, e, i, share) for s, e, share in spans]
-    return sorted((s, e, scanner.names[i]) for s, e, i, share in found if not any(o > share and 2 * (min(e, y) - max(s, x)) >= e - s for x, y, _, o in found))
+                        spans.append((hits[0], hits[-1] + 5, held, set(hits)))
+            found += [(s, e, i, held, at) for s, e, held, at in spans]
+    return sorted((s, e, scanner.names[i]) for s, e, i, held, at in found if not any(o > held and 2 * len(at & b) >= len(at) for *_, o, b in found))
 
 
 def test_found_where_contained(spark):
@@ -43,14 +43,14 @@ def test_found_where_contained(spark):
     names = sorted(licenses.TEMPLATES)
     rows, planted = [], {}
     for i in range(300):
-        words = [r.choice(["alpha", "beta,", "gamma", "-", "under", "license", "the"]) for _ in range(r.randint(0, 300))]
+        words = [r.choice(["alpha", "beta,", "gamma", "-", "under", "license", "the"]) for _ in range(r.randint(310, 500))]
         planted[i] = r.sample(names, r.randint(0, 2))
         for k, name in enumerate(planted[i]):
             body = licenses.TEMPLATES[name].split()
             if len(body) > 60:
                 body[r.randrange(len(body))] = "changed"
             whole = ["--", *body, "--"] if r.random() < 0.5 else [w.upper() for w in body]
-            words = words + whole if k else whole + words  # one at each end, so that none lies in another
+            words = words + whole if k else whole + words  # one at each end, so that no window holds two
         rows.append((i, " ".join(words), "x"))
     rows += [(900, None, "x"), (901, "", "x"), (None, (licenses.TEMPLATES["MIT"] + " ") * 300, "x"), (902, "... !!!", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, licenses string")
