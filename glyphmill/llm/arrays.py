@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -126,6 +127,12 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def slices(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text column as :func:`chunks` makes them, without a copy of its bytes."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    yield from chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), size)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words of the rows between ``offsets`` (which start at 0) of ``data``."""
     if lower:
@@ -151,6 +158,14 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(before[-1]) - before[doc] + words.first[doc], doc
 
 
+def few_arenas() -> None:
+    """Let a library's threads share the system's memory pools, as each would keep what it has freed."""
+    try:
+        ctypes.CDLL(None).mallopt(-8, 2)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def released(batches: Callable) -> Callable:
     """A batch function that gives freed memory back to the system when its task ends.
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.arrays import chunks, released, text_bytes
+from glyphmill.llm.arrays import released, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
@@ -138,7 +138,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", vocabulary: str = VOCAB
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(place))[1]):
+            for a, b in slices(batch.column(place)):
                 part = batch.slice(a, b - a)
                 texts = pa.array([clean(x) for x in part.column(place).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([texts if i == place else x for i, x in enumerate(part.columns)], names)

@@ -22,14 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.arrays import chunks, released, text_bytes
+from glyphmill.llm.arrays import few_arenas, released, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Texts are encoded about so many bytes at a time, whole, and their distinct parts so many to a line.
-BYTES, GROUP = 2 << 20, 64
+BYTES, GROUP = 1 << 19, 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, object]]:
@@ -298,8 +298,7 @@ class _Joined:
             cut[lone] = cut[lone + 1] = True
         cut[ends] = True
         places = np.flatnonzero(cut) if len(points) else np.zeros(1, np.int64)
-        wide = points >= 0x80
-        size = 1 + wide.astype(np.int64) if not (points >= 0x800).any() else 1 + wide.astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        size = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         offsets = _edges(size)[places]
         raw = "".join(texts).encode()
         return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)), np.searchsorted(places, ends)
@@ -307,6 +306,7 @@ class _Joined:
 
 @functools.lru_cache(maxsize=4)
 def codec(raw: bytes) -> Codec:
+    few_arenas()
     return Codec(parse_model(raw))
 
 
@@ -318,14 +318,16 @@ def encoded(documents: DataFrame, model: bytes, keep: list[str] | None = None) -
     each stands alone, so repeated rows and null ids come out as they are, and an empty table gives none.
     """
     keep = [c for c in (keep or documents.columns) if c not in ("n_tokens", "ids", "decoded")]
-    source = documents.select(*keep, documents["text"].alias("_text"))
+    own = "text" in keep  # then it is sent once
+    source = documents.select(*keep) if own else documents.select(*keep, documents["text"].alias("_text"))
+    place = keep.index("text") if own else len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for batch in batches:
-            for part, texts in _slices(batch, len(keep)):
+            for part, texts in _slices(batch, place):
                 flat, first = coder.ids_of([coder.marked(x) for x in texts])
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
                 decoded = coder.decode([flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
@@ -336,7 +338,7 @@ def encoded(documents: DataFrame, model: bytes, keep: list[str] | None = None) -
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch of about BYTES of text, and their texts; null counts as empty."""
-    for a, b in chunks(text_bytes(batch.column(column))[1], BYTES):
+    for a, b in slices(batch.column(column), BYTES):
         part = batch.slice(a, b - a)
         yield part, [x or "" for x in part.column(column).to_pylist()]
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.arrays import chunks, text_bytes
+from glyphmill.llm.arrays import slices
 
 PLAIN, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 SUB_IFDS = 330
@@ -384,7 +384,7 @@ def text_media(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column("text"))[1], BYTES):
+            for a, b in slices(batch.column("text"), BYTES):
                 part = batch.slice(a, b - a)
                 stored = [store_text(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in stored], pa.int64()), pa.array([x for _, x in stored], pa.binary())], ["doc_id", "n_bytes", "media"])
