@@ -196,8 +196,8 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
                 delete(self.spark, self._path(run))
 
-    def _learn(self, docs: DataFrame, number: int) -> None:
-        """Add the hot fingerprints of a batch to those known. They are only a way to deal rows out, so a sample will do."""
+    def learn(self, docs: DataFrame, number: int) -> None:
+        """Add the hot fingerprints of some documents to those known, under a number that is free. They are only a way to deal rows out, so a sample will do."""
         every = max(1, -(-docs.count() // SAMPLE))
         sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
         none = np.zeros(0, U)
@@ -209,15 +209,16 @@ class FingerprintIndex:
             self.spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/hot-{number}")
             self.hot = np.concatenate([self.hot, fresh])
 
-    def candidates(self, docs: DataFrame, work: Workspace) -> DataFrame:
-        """Add a batch; (h, doc_id) of the fingerprints it shares among its documents or with history, from either side.
+    def candidates(self, docs: DataFrame, work: Workspace, learn: bool = True) -> DataFrame:
+        """Add a batch, and learn its hot fingerprints first, if these aren't known; (h, doc_id) of the fingerprints it shares among its documents or with history, from either side.
 
         All rows of hot fingerprints that the batch holds are among these.
         """
         if len(self.runs) >= FAN_IN:
             self.compact()
         number = self.runs[-1][1] + 1 if self.runs else 1
-        self._learn(docs, number)
+        if learn:
+            self.learn(docs, number)
         hot = self.hot
         new = self._write(docs.mapInArrow(lambda x: fingerprint_rows(hot, x), "h long, doc_id long"), number, number)
         tables = [self.spark.table(self._table(run)) for run in [new, *self.runs]]
@@ -295,9 +296,10 @@ def _cuts(docs: DataFrame, batches: int, work: Workspace) -> DataFrame:
     bounds = sorted(set(bounds or []))
     index, found = FingerprintIndex(work.spark, f"{work.root}/index"), []
     try:
+        index.learn(rest, 0)
         for low, high in zip([None, *bounds], [*bounds, None], strict=True):
             part = rest if low is None else rest.where(F.col("doc_id") > low)
-            found.append(index.candidates(part if high is None else part.where(F.col("doc_id") <= high), work))
+            found.append(index.candidates(part if high is None else part.where(F.col("doc_id") <= high), work, learn=False))
     finally:
         index.close()
     work.drop("index")
