@@ -94,6 +94,15 @@ def fingerprint_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iter
             yield pa.RecordBatch.from_arrays([_signed(h), ids], ["h", "doc_id"])
 
 
+@released
+def hot_rows(hot: np.ndarray, here: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc_id) with the fingerprints themselves of rows that hold a number of ``hot``, if it's among those ``here`` (sorted)."""
+    for batch in batches:
+        number = (np.asarray(batch.column("h")) >> 1) & (HOT - 1)
+        keep = np.isin(number, here)
+        yield pa.RecordBatch.from_arrays([_signed(hot[number[keep]]), batch.column("doc_id").filter(pa.array(keep))], ["h", "doc_id"])
+
+
 @released
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(high, low, doc_id, whole, at): the windows whose fingerprint is in the row's ``shared``; whole is the text's own hash."""
@@ -229,11 +238,12 @@ class FingerprintIndex:
             keys = keys.unionByName(ends.join(run, "h", "left_semi").select("h"))
         spread = None
         if len(hot):
-            of = F.shiftright("h", 1).bitwiseAND(HOT - 1).alias("number")
-            known = self.spark.createDataFrame(pa.table({"number": np.arange(len(hot)), "whole": hot.view(np.int64)}))
-            here = work.save(known.join(F.broadcast(tables[0].where("h & 1 = 1").select(of).distinct()), "number", "left_semi"), f"hot-{number}")
-            keys = keys.unionByName(here.select(F.col("whole").alias("h")))  # as rows of runs from before they were hot
-            spread = [x.where("h & 1 = 1").select(of, "doc_id").join(F.broadcast(here), "number").select(F.col("whole").alias("h"), "doc_id") for x in tables]
+            numbers = tables[0].where("h & 1 = 1").select(F.shiftright("h", 1).bitwiseAND(HOT - 1).alias("number")).distinct()
+            here = np.sort(numbers.toArrow().column("number").to_numpy())  # HOT at most
+            if len(here):
+                own = self.spark.createDataFrame(pa.table({"h": hot[here].view(np.int64)}))
+                keys = keys.unionByName(own)  # as rows of runs from before they were hot
+                spread = [x.where("h & 1 = 1").mapInArrow(lambda y: hot_rows(hot, here, y), "h long, doc_id long") for x in tables]
         keys = work.save(keys.distinct(), f"keys-{number}")
         found = batch.join(keys, "h", "left_semi").distinct()
         for run in old:
@@ -242,7 +252,7 @@ class FingerprintIndex:
             found = found.unionByName(rows.distinct())
         self.runs.append(new)
         found = work.save(found, f"found-{number}")
-        work.drop(f"keys-{number}", f"hot-{number}")
+        work.drop(f"keys-{number}")
         return found
 
     def add(self, docs: DataFrame, history: DataFrame) -> DataFrame:
