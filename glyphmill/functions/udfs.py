@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,24 +29,40 @@ def unescape_special(text: str) -> str:
     return _ESCAPED.sub(back, text)
 
 
+#: Rows, and bytes of texts and files in them, that are handed on together at most (but for one row that is larger).
+ROWS, PIECE = 2048, 4 << 20
+
+#: Rows of a batch that are read together.
+READ = 64
+
+
+def _bytes(values: Iterable) -> int:
+    return sum(len(x) for x in values if isinstance(x, (bytes, str)))
+
+
 def scalar(function: Callable, kind: str, *columns: Column | str) -> Column:
-    """A column of function(row's values); a row with a null input gives null."""
+    """A column of function(row's values); a row with a null input gives null. Values are handed on every PIECE bytes, so they may be files."""
 
     @F.pandas_udf(kind)
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else function(*row) for row in zip(*series, strict=True)], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out, size = [], 0
+            for row in zip(*(batch if isinstance(batch, tuple) else (batch,)), strict=True):
+                out.append(None if any(x is None for x in row) else function(*row))
+                size += _bytes(out[-1:])
+                if size >= PIECE:
+                    yield pd.Series(out, dtype=object)
+                    out, size = [], 0
+            yield pd.Series(out, dtype=object)
 
     return run(*columns)
 
 
-#: Rows that are handed on together at most.
-ROWS = 2048
-
-
-def exploded(frame: DataFrame, function: Callable[..., Iterable[dict]], schema: str, *columns: str) -> DataFrame:
+def exploded(frame: DataFrame, function: Callable[..., Iterable[dict]], schema: str, *columns: str, drop: Iterable[str] = ()) -> DataFrame:
     """The rows with the columns of each dict that function yields for them; a row that yields none goes.
 
-    What function yields is handed on every ROWS rows, so a row may have any number of results.
+    What function yields is handed on every ROWS rows or PIECE bytes, so a row may have any number of results.
+    Columns in ``drop`` are read and not handed on: a file's bytes aren't copied for each of its results.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -54,26 +70,29 @@ def exploded(frame: DataFrame, function: Callable[..., Iterable[dict]], schema:
 
     added = T.StructType.fromDDL(schema)
     kinds = to_arrow_schema(added)
-    whole = T.StructType([*frame.schema.fields, *added.fields])
+    kept = [i for i, c in enumerate(frame.columns) if c not in drop]
+    whole = T.StructType([*(frame.schema.fields[i] for i in kept), *added.fields])
     places = [frame.columns.index(c) for c in columns]
 
     def run(batches: Iterable) -> Iterable:
         for batch in batches:
-            index, rows = [], []
+            index, rows, size = [], [], 0
 
             def done():
-                old = batch.take(pa.array(index, pa.int64()))
+                at = pa.array(index, pa.int64())
                 new = [pa.array([r.get(f.name) for r in rows], f.type) for f in kinds]
-                return pa.RecordBatch.from_arrays([*old.columns, *new], names=whole.names)
-
-            inputs = [batch.column(i).to_pylist() for i in places]
-            for i, row in enumerate(zip(*inputs, strict=True)):
-                for found in function(*row):
-                    index.append(i)
-                    rows.append(found)
-                    if len(rows) == ROWS:
-                        yield done()
-                        index, rows = [], []
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in kept), *new], names=whole.names)
+
+            for first in range(0, batch.num_rows, READ):
+                inputs = [batch.column(i).slice(first, READ).to_pylist() for i in places]
+                for i, row in enumerate(zip(*inputs, strict=True), first):
+                    for found in function(*row):
+                        index.append(i)
+                        rows.append(found)
+                        size += _bytes(found.values())
+                        if len(rows) == ROWS or size >= PIECE:
+                            yield done()
+                            index, rows, size = [], [], 0
             if rows:
                 yield done()
 

@@ -16,14 +16,16 @@ from glyphmill.queries import _t, query, region_files
 from glyphmill.sources import world
 
 
-def _named_regions(spark, sf):
-    """One region a part: a command block, a sign and a chunk of a compression that isn't decoded."""
+def _named_regions(spark, sf, *more):
+    """One region a part, with more of its columns: a command block, a sign and a chunk of a compression that isn't decoded."""
 
     def build(key: int, name: str, kind: str) -> bytes:
         tree = {"block_entities": [{"id": "command_block", "Command": f'execute run tellraw @a[name="{kind}"] {{"text":"{name}"}}'}, {"id": "sign", "CustomName": name, "n": Num("long", int(key))}]}
         return anvil.write([anvil.Chunk(int(key) % 1000, anvil.ZLIB, b"", 0).replaced(tree), anvil.Chunk(1000, 4, kind.encode(), 9)])
 
-    return _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), scalar(build, "binary", "p_partkey", "p_name", "p_type").alias("content"))
+    # Parts are dealt out while they are small: a region is a hundred times its part, and a small table is one task.
+    part = _t(spark, sf, "part").withColumn("path", F.col("p_partkey").cast("string")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return part.select("path", *more, scalar(build, "binary", "p_partkey", "p_name", "p_type").alias("content"))
 
 
 def _part_names(spark, sf):
@@ -49,7 +51,7 @@ def region_backfill(spark, sf):
     def kept(content):
         yield from ({"chunk_index": c.index, "ordinal": c.time, "content_text": c.data.decode()} for c in anvil.read(bytes(content)) if c.kind == 4)
 
-    raw = exploded(done, kept, "chunk_index int, ordinal int, content_text string", "content").select("path", "chunk_index", "ordinal", F.col("content_text").alias("content"))
+    raw = exploded(done, kept, "chunk_index int, ordinal int, content_text string", "content", drop=["content"]).select("path", "chunk_index", "ordinal", F.col("content_text").alias("content"))
     return world.region_texts(done).where("error IS NULL").select("path", "chunk_index", "ordinal", "content").unionByName(raw)
 
 

@@ -139,7 +139,7 @@ def region_texts(regions: DataFrame, patterns: Patterns | None = None) -> DataFr
                 rows = _error(e)
             yield from ({"chunk_index": c.index} | r for r in rows)
 
-    return exploded(regions.withColumnRenamed("content", "_bytes"), run, "chunk_index int, " + LEAVES, "_bytes").drop("_bytes")
+    return exploded(regions.withColumnRenamed("content", "_bytes"), run, "chunk_index int, " + LEAVES, "_bytes", drop=["_bytes"])
 
 
 def _chunks(content: bytes) -> list[anvil.Chunk]:
@@ -199,7 +199,7 @@ def typed_chunks(regions: DataFrame, kind: str) -> DataFrame:
 
     named = ", ".join(f"chunk_{x.strip()}" for x in schema.split(", "))
     rows = regions.where(F.col("kind") == kind) if "kind" in regions.columns else regions
-    return exploded(rows, run, f"chunk_index int, {named}", "content").drop("content")
+    return exploded(rows, run, f"chunk_index int, {named}", "content", drop=["content"])
 
 
 def region_dump(regions: DataFrame) -> DataFrame:
@@ -237,6 +237,11 @@ def _modified(content: bytes, change: Callable[[anvil.Chunk], anvil.Chunk], now:
         return None
 
 
+def _beside(files: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """Files with the items of each. Spark takes the bytes of made files for 100 a row, so without a word it would broadcast them; here the items are hashed and files stream past."""
+    return files.join(items.hint("shuffle_hash"), [*keys])
+
+
 def filled_regions(regions: DataFrame, replacements: DataFrame, now: int | None = None) -> DataFrame:
     """(path, content) of the regions that have replacements(path, ordinal, chunk_index, pointer, format, replacement).
 
@@ -244,7 +249,6 @@ def filled_regions(regions: DataFrame, replacements: DataFrame, now: int | None
     their compression; a region that can't be read gives no row. Times are set to ``now`` if given.
     """
     items = F.sort_array(F.collect_list(F.struct("ordinal", "chunk_index", "pointer", "format", "replacement"))).alias("items")
-    joined = regions.select("path", "content").join(replacements.groupBy("path").agg(items), "path")
 
     def run(content: bytes, rows) -> bytes | None:
         own: dict[int, list] = {}
@@ -259,7 +263,17 @@ def filled_regions(regions: DataFrame, replacements: DataFrame, now: int | None
 
         return _modified(content, change, now)
 
-    return joined.select("path", scalar(run, "binary", "content", "items").alias("content")).where("content IS NOT NULL")
+    return _filled(_beside(regions.select("path", "content"), replacements.groupBy("path").agg(items), "path"), run, "content")
+
+
+def _filled(joined: DataFrame, run: Callable, *columns: str) -> DataFrame:
+    """The files with items, and what run gives for these columns and the items as their content; of a file where that is None no row."""
+
+    def filled(*row) -> Iterator[dict]:
+        if None not in row and (new := run(*row)) is not None:
+            yield {"_new": new}
+
+    return exploded(joined, filled, "_new binary", *columns, "items", drop=["content", "items"]).withColumnRenamed("_new", "content")
 
 
 def _pairs(texts: DataFrame, mapping: DataFrame, *keys: str) -> DataFrame:
@@ -267,7 +281,7 @@ def _pairs(texts: DataFrame, mapping: DataFrame, *keys: str) -> DataFrame:
     text = F.col("content")
     forms = F.array_compact(F.array(text, F.coalesce(double_unquoted(text), single_unquoted(text))))
     own = texts.where(text.isNotNull()).select(*keys, F.explode(forms).alias("source")).distinct()
-    joined = own.join(mapping.where("target IS NOT NULL").select("source", "target"), "source")
+    joined = own.hint("merge").join(mapping.where("target IS NOT NULL").select("source", "target"), "source")  # neither side is small for sure
     return joined.groupBy(*keys).agg(F.collect_list(F.struct("source", "target")).alias("items"))
 
 
@@ -288,8 +302,7 @@ def _rewritten_regions(regions: DataFrame, items: DataFrame, picker: Callable, p
 
         return _modified(content, change, now)
 
-    joined = regions.select("path", "content").join(items, "path")
-    return joined.select("path", scalar(run, "binary", "content", "items").alias("content")).where("content IS NOT NULL")
+    return _filled(_beside(regions.select("path", "content"), items, "path"), run, "content")
 
 
 def translated_regions(regions: DataFrame, texts: DataFrame, mapping: DataFrame, patterns: Patterns | None = None, now: int | None = None) -> DataFrame:
@@ -334,7 +347,7 @@ def archive_entries(archives: DataFrame) -> DataFrame:
         except zipfile.BadZipFile:
             return
 
-    rows = exploded(archives, entries, "inner string, data binary", "content")
+    rows = exploded(archives, entries, "inner string, data binary", "content", drop=["content"])
     return rows.select("source", F.col("inner").alias("path"), F.col("data").alias("content"))
 
 
@@ -373,7 +386,7 @@ def pack_texts(packs: DataFrame, patterns: Patterns | None = None) -> DataFrame:
             yield none | {"content_text" if k == "content" else k: v for k, v in r.items()}
 
     schema = SPANS.replace("content string", "content_text string") + ", outer_pointer string, inner_pointer string, error string"
-    return exploded(packs, run, schema, "path", "content").drop("content").withColumnRenamed("content_text", "content")
+    return exploded(packs, run, schema, "path", "content", drop=["content"]).withColumnRenamed("content_text", "content")
 
 
 def filled_packs(packs: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -382,7 +395,7 @@ def filled_packs(packs: DataFrame, replacements: DataFrame) -> DataFrame:
     A file that can't be read, or whose spans overlap, gives no row.
     """
     items = F.sort_array(F.collect_list(F.struct("ordinal", "start", "end", "syntax", "pointer", "format", "replacement"))).alias("items")
-    joined = packs.join(replacements.groupBy("source", "path").agg(items), ["source", "path"])
+    joined = _beside(packs, replacements.groupBy("source", "path").agg(items), "source", "path")
 
     def fill(path: str, raw: bytes, rows) -> bytes:
         if path.endswith(".mcfunction"):
@@ -392,17 +405,17 @@ def filled_packs(packs: DataFrame, replacements: DataFrame) -> DataFrame:
             return njson.write(backfill.fill(njson.parse(raw.decode("utf-8"), njson.FILE), new, "json_obj")).encode("utf-8")
         return nbt.write_gzip(backfill.fill(nbt.read_gzip(raw), new, "nbt_obj"))
 
-    return _rewritten(joined, fill, "items")
+    return _rewritten(joined, fill)
 
 
-def _rewritten(joined: DataFrame, fill: Callable, items: str) -> DataFrame:
+def _rewritten(joined: DataFrame, fill: Callable) -> DataFrame:
     def run(path: str, content: bytes, rows) -> bytes | None:
         try:
             return fill(path, bytes(content), rows)
         except ValueError:
             return None
 
-    return joined.select("source", "path", scalar(run, "binary", "path", "content", items).alias("content")).where("content IS NOT NULL")
+    return _filled(joined.select("source", "path", "content", "items"), run, "path", "content")
 
 
 def _rewritten_packs(packs: DataFrame, items: DataFrame, picker: Callable, patterns: Patterns | None) -> DataFrame:
@@ -422,7 +435,7 @@ def _rewritten_packs(packs: DataFrame, items: DataFrame, picker: Callable, patte
         tree = backfill.replaced_tree(tree, extract.nbt_texts(tree, catalog), pick, "nbt_obj")
         return None if tree is None else nbt.write_gzip(tree)
 
-    return _rewritten(packs.join(items, ["source", "path"]), fill, "items")
+    return _rewritten(_beside(packs, items, "source", "path"), fill)
 
 
 def translated_packs(packs: DataFrame, texts: DataFrame, mapping: DataFrame, patterns: Patterns | None = None) -> DataFrame:
@@ -443,7 +456,7 @@ def replaced_packs(packs: DataFrame, replacements: DataFrame, patterns: Patterns
 def filled_archives(archives: DataFrame, filled: DataFrame) -> DataFrame:
     """(source, content): archives(source, content) with the filled files in place; all other entries are copied, folders go."""
     items = F.collect_list(F.struct("path", F.col("content").alias("data"))).alias("items")
-    joined = archives.join(filled.groupBy("source").agg(items), "source")
+    joined = _beside(archives.select("source", "content"), filled.groupBy("source").agg(items), "source")
 
     def run(content: bytes, rows) -> bytes:
         new, out = {r["path"]: bytes(r["data"]) for r in rows}, io.BytesIO()
@@ -453,7 +466,7 @@ def filled_archives(archives: DataFrame, filled: DataFrame) -> DataFrame:
                     z.writestr(info, new.get(info.filename, old.read(info)), zipfile.ZIP_DEFLATED)
         return out.getvalue()
 
-    return joined.select("source", scalar(run, "binary", "content", "items").alias("content"))
+    return _filled(joined, run, "content")
 
 
 def write_files(rows: DataFrame, root: str) -> int:

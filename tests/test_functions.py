@@ -46,3 +46,10 @@ def test_chunk_places_are_those_of_the_writer(spark):
     assert [tuple(r) for r in frame.select(first, count).collect()] == [(2, 1), (3, 2), (5, 18)]
     assert frame.agg(fx.necessary_sectors(F.col("e"))).first()[0] * anvil.SECTOR == len(raw)
     assert spark.createDataFrame([(0,)], "e long").agg(fx.necessary_sectors(F.col("e"))).first()[0] == 2
+
+
+def test_exploded_leaves_columns_out(spark):
+    frame = spark.createDataFrame([(1, "ab"), (2, ""), (3, "c" * 100)], "k int, t string")
+    found = udfs.exploded(frame, lambda t: ({"c": c} for c in t), "c string", "t", drop=["t"])
+    assert found.columns == ["k", "c"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "b"), *[(3, "c")] * 100]

@@ -23,3 +23,9 @@ def test_region_roundtrip_writes_every_part(spark):
     found = [c.tree()["id"].value for r in region_files(spark, sf).collect() for c in anvil.read(bytes(r.content))]
     assert sorted(found) == sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
     same(QUERIES["region_roundtrip"](spark, sf), ORACLE_SQL["region_roundtrip"], sf)
+
+
+def test_back_fills_broadcast_no_files(spark, sf):
+    """Spark's estimate of a made region is 100 bytes, so it would broadcast all of them, or all their texts."""
+    for name in ("region_backfill", "pack_backfill", "archive_rewrite"):
+        assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
