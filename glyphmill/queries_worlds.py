@@ -58,9 +58,8 @@ def region_backfill(spark, sf):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_partkey % 1000 AS INT) AS chunk_index, CAST(n AS INT) AS ordinal, CASE WHEN n = p_size % 3 THEN concat('new', n) ELSE CASE n WHEN 0 THEN p_type WHEN 1 THEN concat('{\"text\":\"', p_name, '\"}') ELSE p_name END END AS content FROM part, (VALUES (0), (1), (2)) v(n)")
 def region_replaced(spark, sf):
     """One of each chunk's three texts replaced by its number."""
-    regions = _named_regions(spark, sf)
-    sizes = _t(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS path", "p_size")
-    rows = world.region_texts(regions).where("error IS NULL").join(sizes, "path").where("ordinal = p_size % 3").selectExpr("path", "chunk_index", "ordinal", "concat('new', ordinal) AS replacement")
+    regions = _named_regions(spark, sf, "p_size")
+    rows = world.region_texts(regions).where("error IS NULL AND ordinal = p_size % 3").selectExpr("path", "chunk_index", "ordinal", "concat('new', ordinal) AS replacement")
     return world.region_texts(world.replaced_regions(regions, rows)).where("error IS NULL").select("path", "chunk_index", "ordinal", "content")
 
 

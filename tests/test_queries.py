@@ -27,5 +27,5 @@ def test_region_roundtrip_writes_every_part(spark):
 
 def test_back_fills_broadcast_no_files(spark, sf):
     """Spark's estimate of a made region is 100 bytes, so it would broadcast all of them, or all their texts."""
-    for name in ("region_backfill", "pack_backfill", "archive_rewrite"):
+    for name in ("region_backfill", "region_replaced", "pack_backfill", "archive_rewrite"):
         assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
