@@ -543,11 +543,11 @@ def region_files(spark, sf):
     parts = _t(spark, sf, "part").selectExpr("p_brand", "p_partkey DIV 1024 AS region", "CAST(p_partkey % 1024 AS INT) AS i", "p_partkey AS id", "p_name AS name")
     made = parts.groupBy("p_brand", "region").agg(F.collect_list(F.struct("i", "id", "name")).alias("cells"))
 
-    def build(rows) -> bytes:
-        chunks = [anvil.Chunk(int(r["i"]), 1 + int(r["i"]) % 3, b"", 7).replaced({"id": Num("long", int(r["id"])), "name": r["name"]}) for r in rows]
-        return anvil.write(chunks)
+    def build(rows):
+        chunks = [anvil.Chunk(r["i"], 1 + r["i"] % 3, b"", 7).replaced({"id": Num("long", r["id"]), "name": r["name"]}) for r in rows]
+        yield {"content": anvil.write(chunks)}
 
-    return made.select("p_brand", "region", scalar(build, "binary", "cells").alias("content"))
+    return exploded(made, build, "content binary", "cells", drop=["cells"])
 
 
 @query("SELECT p_partkey, CAST(p_partkey % 1024 AS INT) AS chunk_index, '>#block_entities>0>#CustomName' AS pointer, p_name AS content FROM part")

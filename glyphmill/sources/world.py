@@ -168,7 +168,7 @@ def region_chunks(regions: DataFrame) -> DataFrame:
 
     schema = "chunk_index int, compression int, time long, snbt string, error string"
     none = dict.fromkeys(x.split()[0] for x in schema.split(", "))
-    return exploded(regions, lambda content: (none | x for x in run(content)), schema, "content").drop("content")
+    return exploded(regions, lambda content: (none | x for x in run(content)), schema, "content", drop=["content"])
 
 
 _TYPED = {

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from glyphmill.parse import anvil
@@ -29,3 +31,11 @@ def test_back_fills_broadcast_no_files(spark, sf):
     """Spark's estimate of a made region is 100 bytes, so it would broadcast all of them, or all their texts."""
     for name in ("region_backfill", "region_replaced", "pack_backfill", "archive_rewrite"):
         assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_chunks_dont_carry_their_region(spark, sf):
+    """Each row of a chunk had all bytes of its region until it was back in the JVM."""
+    for name in ("region_chunks",):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        given = re.findall(r"MapInArrow .*?, \[([^\]]*)\], (?:true|false)", plan)
+        assert given and "content" not in given[0] and "chunk_index" in given[0], name
