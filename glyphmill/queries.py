@@ -535,7 +535,7 @@ def region_roundtrip(spark, sf):
             tree = c.tree()
             yield {"chunk_index": c.index, "id": tree["id"].value, "name": tree["name"], "kind": c.kind}
 
-    return exploded(region_files(spark, sf), read, "chunk_index int, id long, name string, kind int", "content").drop("content")
+    return exploded(region_files(spark, sf), read, "chunk_index int, id long, name string, kind int", "content", drop=["content"])
 
 
 def region_files(spark, sf):

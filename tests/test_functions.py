@@ -1,5 +1,6 @@
 import struct
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as fx
@@ -53,3 +54,14 @@ def test_exploded_leaves_columns_out(spark):
     found = udfs.exploded(frame, lambda t: ({"c": c} for c in t), "c string", "t", drop=["t"])
     assert found.columns == ["k", "c"]
     assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "b"), *[(3, "c")] * 100]
+
+
+def test_scalar_hands_large_values_on_in_pieces(spark, monkeypatch):
+    values = ["a", None, "b" * 3, "c"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "i int, t string").coalesce(1)
+    large = lambda t: t.encode() * udfs.PIECE
+    found = frame.select("i", udfs.scalar(large, "binary", "t").alias("x")).selectExpr("i", "length(x) AS n", "decode(substring(x, 1, 1), 'UTF-8') AS c").collect()
+    assert sorted(map(tuple, found)) == [(i, t and len(t) * udfs.PIECE, t and t[0]) for i, t in enumerate(values)]
+    monkeypatch.setattr(udfs.F, "pandas_udf", lambda kind: lambda f: lambda *columns: f)
+    pieces = udfs.scalar(large, "binary", "t")(iter([pd.Series(values)]))
+    assert [len(x) for x in pieces] == [1, 2, 1, 0]

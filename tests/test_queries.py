@@ -35,7 +35,7 @@ def test_back_fills_broadcast_no_files(spark, sf):
 
 def test_chunks_dont_carry_their_region(spark, sf):
     """Each row of a chunk had all bytes of its region until it was back in the JVM."""
-    for name in ("region_chunks",):
+    for name in ("region_chunks", "region_roundtrip"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         given = re.findall(r"MapInArrow .*?, \[([^\]]*)\], (?:true|false)", plan)
         assert given and "content" not in given[0] and "chunk_index" in given[0], name
